@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, media, mixing, packing, rules, sharding, simhash, suffixes
+from . import chat, cotraining, ctw, media, mixing, packing, rules, sharding, simhash, suffixes
 from .common import cut, table, word_count
 
 
@@ -62,6 +62,16 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    return ctw.score(docs, fold != 1)
+
+
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -74,5 +84,5 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op3_chat_format, op4_simhash, op5_quality_rules, op6_media, op9_shard, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op3_chat_format, op4_simhash, op5_quality_rules, op6_media, op7_ctw_score, op8_cotraining, op9_shard, op10_pack)}
 ORACLES: dict[str, str] = {}

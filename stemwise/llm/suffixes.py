@@ -275,10 +275,26 @@ def removed_spans(spans: np.ndarray, length: int) -> np.ndarray:
     return np.stack([start[first], end[np.r_[first[1:], True]]], axis=1)
 
 
-def dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+def whole_characters(data: bytes, runs: list[list[int]]) -> list[list[int]]:
+    """The runs without the characters that they hold a part of only."""
+    out = []
+    for a, b in runs:
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append([a, b])
+    return out
+
+
+def dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = 400, characters: bool = False) -> DataFrame:
     """The rows of ``df`` with kept (binary: the text without what is removed),
     removed (pairs of start and end) and n_bytes in place of the text.
 
+    With ``characters``, characters that a run covers in part stay, so that what is
+    kept is text again.
+
     Result columns get a trailing underscore where ``df`` has the name already.
     """
     others = [c for c in df.columns if c != text]
@@ -300,6 +316,8 @@ def dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", length:
                     removed.append([])
                     continue
                 runs = removed_spans(spans.values.to_numpy(), length).tolist()
+                if characters:
+                    runs = whole_characters(data, runs)
                 parts, at = [], 0
                 for a, b in runs:
                     parts.append(data[at:a])
