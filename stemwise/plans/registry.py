@@ -1,6 +1,231 @@
-"""All queries of the engine and the SQL they are held against."""
+"""All queries of the engine by operator id, and the SQL they are held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..functions import stats, text as T
+from ..operators import audit, classifier, items as I, matching, results as R, scoring, surface
+from ..sources import sinks
+from . import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+OK = "coalesce(pick = gold, false)"
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if oracle:
+            ORACLES[key] = oracle
+        return f
+
+    return add
+
+
+def on_answers(name: str, oracle: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    query(f"with {V.ANSWERS} {oracle}".replace(")) ,", ")),").replace(") ,", "),"), name)(lambda spark, sf_dir: f(V.answers(spark, sf_dir)))
+
+
+def on_options(name: str, oracle: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    query(f"with {V.OPTIONS} {oracle}", name)(lambda spark, sf_dir: f(V.options(spark, sf_dir)))
+
+
+def on_items(name: str, oracle: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    query(f"with {V.ITEMS} {oracle}", name)(lambda spark, sf_dir: f(V.items(spark, sf_dir)))
+
+
+def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# --- D: aggregations, E: statistics ---------------------------------------------------
+
+WILSON = """(k / n + 1.96 * 1.96 / (2 * n) {s} 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)"""
+GROUPS = f"g as (select model, condition, count(*) filter ({OK}) as k, count(*) as n, count(*) filter (pick is null) as unparsed from answers group by all)"
+FAV = "f as (select model, condition, pick as fav from (select *, row_number() over (partition by model, condition order by c desc, p) as r from (select model, condition, pick, count(*) as c, min(item_pos) as p from answers where pick is not null group by all)) where r = 1)"
+RATE = "h as (select a.model, a.condition, any_value(fav) as fav, avg(case when gold = fav then 1.0 else 0.0 end) as fav_rate from answers a join f on a.model = f.model and a.condition = f.condition group by all)"
+
+TAIL = "(select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))) from (select unnest(range({a}, {b} + 1)) as i))"
+
+
+def tail(a: str, b: str, p: str = "0.2") -> str:
+    return TAIL.format(a=a, b=b, p=p)
+
+
+def significant(c: str) -> Column:
+    """Six significant digits as text, so that engines agree."""
+    return F.format_string("%.5e", F.col(c))
+
+
+SIGNIFICANT = "format('{{:.5e}}', {})"
+
+on_answers("d1_accuracy", f"select model, condition, count(*) filter ({OK}) as k, count(*) as n, round(avg({OK}::int), 8) as acc, count(*) filter (pick is null) as unparsed from answers group by all", lambda a: rounded(R.accuracy(a, "model", "condition")))
+on_answers("d2_by_condition", f"select condition, count(*) filter ({OK}) as k, count(*) as n, round(avg({OK}::int), 8) as acc, count(*) filter (pick is null) as unparsed from answers group by all", lambda a: rounded(R.accuracy(a, "condition")))
+on_answers("d3_by_condition_bank", f"select condition, bank, count(*) filter ({OK}) as k, count(*) as n, round(avg({OK}::int), 8) as acc, count(*) filter (pick is null) as unparsed from answers group by all", lambda a: rounded(R.accuracy(a, "condition", "bank")))
+on_answers("d4_first_seen_runs", "select model, condition, min(item_pos) as first_pos, count(*) as n from answers group by all", lambda a: R.first_seen(a, "model", "condition"))
+on_answers("d5_by_model_condition_bank", f"select model, condition, bank, count(*) filter ({OK}) as k, count(*) as n, round(avg({OK}::int), 8) as acc, count(*) filter (pick is null) as unparsed from answers group by all", lambda a: rounded(R.accuracy(a, "model", "condition", "bank")))
+on_answers("d6_histogram", "select pick, count(*) as n from answers group by all", lambda a: R.histogram(a, "pick"))
+on_answers("d7_mode_first_seen", "select model, condition, pick as fav, c as fav_n from (select *, row_number() over (partition by model, condition order by c desc, p) as r from (select model, condition, pick, count(*) as c, min(item_pos) as p from answers where pick is not null group by all)) where r = 1", lambda a: R.favourite(a, "model", "condition"))
+on_answers("d7_mode_with_null", "select bank, pick as fav, c as fav_n from (select *, row_number() over (partition by bank order by c desc, p) as r from (select bank, pick, count(*) as c, min(item_pos) as p from answers group by all)) where r = 1", lambda a: R.favourite(a, "bank", with_null=True))
+on_answers("d8_always_favourite", f", {FAV}, {RATE} select model, condition, fav, round(fav_rate, 8) as fav_rate from h", lambda a: rounded(R.always_favourite(a, "model", "condition")))
+on_answers("d9_unparsed", "select model, count(*) filter (pick is null) as unparsed from answers group by all", lambda a: a.groupBy("model").agg(F.count_if(F.col("pick").isNull()).alias("unparsed")))
+PAIRED = "a_ as (select item_pos, condition, gold, bank, pick, {ok} as ok from answers where model = 'm0'), b_ as (select item_pos, condition, gold, bank, pick, {ok} as ok from answers where model = 'm1'), pairs as (select a_.item_pos, a_.condition, a_.gold as a_gold, b_.gold as b_gold, a_.bank as a_bank, b_.bank as b_bank, a_.pick as a_pick, b_.pick as b_pick, a_.ok as a_right, b_.ok as b_right from a_ join b_ on a_.item_pos = b_.item_pos and a_.condition = b_.condition)".replace("{ok}", OK)
+PAIR = lambda a: R.paired(a, "m0", "m1", "model", ["item_pos", "condition"])
+TABLE = "select condition, count(*) filter (a_right and b_right) as a, count(*) filter (a_right and not b_right) as b, count(*) filter (not a_right and b_right) as c, count(*) filter (not a_right and not b_right) as d from pairs group by all"
+on_answers("d13_contingency", f", {PAIRED} {TABLE}", lambda a: R.contingency(PAIR(a), "condition"))
+on_answers("d14_agreement", f", {PAIRED} select n, same, round(same / n, 8) as rate, round(s / (n * n), 8) as chance from (select count(*) as n, count(*) filter (a_pick is not distinct from b_pick) as same from pairs), (select sum(ca * cb)::double as s from (select a_pick as x, count(*) as ca from pairs group by 1) join (select b_pick as y, count(*) as cb from pairs group by 1) on x is not distinct from y)", lambda a: rounded(R.agreement(PAIR(a))))
+on_answers("d15_conditional_accuracy", f", {PAIRED} select round(avg(a_right::int) filter (b_right), 8) as acc_if_right, round(avg(a_right::int) filter (not b_right), 8) as acc_if_wrong from pairs", lambda a: rounded(R.conditional_accuracy(PAIR(a))))
+CONDITIONS = ["full", "options", "shuffle"]
+on_answers("d16_pivot", "select bank, " + ", ".join(f"round(avg({OK}::int) filter (condition = '{c}'), 8) as \"{c}\"" for c in CONDITIONS) + " from answers group by bank", lambda a: rounded(R.pivot_accuracy(a, CONDITIONS)))
+on_answers("d17_totals", f"select bank, count(*) filter ({OK}) as k, count(*) as n from answers group by rollup (bank)", R.totals)
+on_answers("d18_share_by_group", f"select bank, count(*) filter ({OK}) as k, count(*) as n, round(100.0 * count(*) filter ({OK}) / count(*), 8) as share, round(100.0 * count(*) / sum(count(*)) over (), 8) as of_total from answers group by bank", lambda a: rounded(R.shares(a, "bank", R.correct())))
+on_answers("d20_distinct_letters", "select bank, list_aggregate(list_sort(list_distinct(list(pick) filter (pick is not null))), 'string_agg', '') as letters from answers group by bank", lambda a: a.groupBy("bank").agg(F.array_join(F.array_sort(F.collect_set("pick")), "").alias("letters")))
+on_answers("d24_by_model_bank", f"select model, bank, count(*) filter ({OK}) as k, count(*) as n, round(avg({OK}::int), 8) as acc, count(*) filter (pick is null) as unparsed from answers group by all", lambda a: rounded(R.accuracy(a, "model", "bank")))
+on_answers("e5_wilson", f", {GROUPS} select model, condition, round({WILSON.format(s='-')}, 8) as lo, round({WILSON.format(s='+')}, 8) as hi from g", lambda a: rounded(R.accuracy(a, "model", "condition").select("model", "condition", *(x.alias(n) for x, n in zip(stats.wilson(F.col("k"), F.col("n")), ("lo", "hi"))))))
+on_answers("e6_z_score", f", {GROUPS} select model, condition, round((k - 0.2 * n) / sqrt(0.16 * n), 6) as z from g", lambda a: rounded(R.accuracy(a, "model", "condition").select("model", "condition", stats.z_score(F.col("k"), F.col("n")).alias("z")), 6))
+on_answers("e2_binomial_upper_tail", f", {GROUPS} select model, condition, bank, k, n, {SIGNIFICANT.format(tail('k', 'n'))} as p from (select model, condition, bank, count(*) filter ({OK}) as k, count(*) as n from answers group by all)", lambda a: R.accuracy(a, "model", "condition", "bank").withColumn("p", stats.binom_sf("k", "n")).select("model", "condition", "bank", "k", "n", significant("p").alias("p")))
+on_answers("e2_binomial_exact", f", {GROUPS} select bank, k, n, {SIGNIFICANT.format(tail('k', 'n'))} as p from (select bank, condition, count(*) filter ({OK}) as k, count(*) as n from answers group by all)", lambda a: R.accuracy(a, "bank", "condition").withColumn("p", stats.binom_sf_exact("k", "n")).select("bank", "k", "n", significant("p").alias("p")))
+on_answers("e3_binomial_lower_tail", f"select model, bank, k, n, case when k <= 0.2 * n then {SIGNIFICANT.format(tail('0', 'k'))} end as p from (select model, bank, count(*) filter (pick = 'A') as k, count(*) as n from answers group by all)", lambda a: a.groupBy("model", "bank").agg(F.count_if(F.col("pick") == "A").alias("k"), F.count("*").alias("n")).withColumn("p", R.lower_p("k", "n")).select("model", "bank", "k", "n", F.when(F.col("p").isNotNull(), significant("p")).alias("p")))
+on_answers("e4_guarded_p", f"select model, bank, k, n, case when k <= 0.2 * n then {SIGNIFICANT.format('1.0::double')} else {SIGNIFICANT.format(tail('k', 'n'))} end as p from (select model, bank, count(*) filter ({OK}) as k, count(*) as n from answers group by all)", lambda a: R.accuracy(a, "model", "bank").withColumn("p", R.upper_p("k", "n")).select("model", "bank", "k", "n", significant("p").alias("p")))
+FISHER = "exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1))"
+on_answers(
+    "e7_fisher",
+    f", {PAIRED}, t as (select a_bank as bank, count(*) filter (a_right and b_right) as a, count(*) filter (a_right and not b_right) as b, count(*) filter (not a_right and b_right) as c, count(*) filter (not a_right and not b_right) as d from pairs group by all), "
+    f"w as (select bank, x, {FISHER} as p, {FISHER.replace('x +', 'a +').replace('- x', '- a').replace('- a + x', '- a + a')} as p0 from (select *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) as x from t)) "
+    f"select bank, {SIGNIFICANT.format('least(1.0, sum(p) filter (p <= p0 * (1 + 1e-7)))')} as p from w group by bank",
+    lambda a: R.contingency(PAIR(a).withColumnRenamed("a_bank", "bank"), "bank").withColumn("p", stats.fisher_exact("a", "b", "c", "d")).select("bank", significant("p").alias("p")),
+)
+on_answers("e8_mcnemar", f", {PAIRED} select bank, {SIGNIFICANT.format('case when n = 0 then 1.0 else least(1.0, 2 * ' + tail('0', 'm', '0.5') + ') end')} as p from (select a_bank as bank, count(*) filter (a_right <> b_right) as n, least(count(*) filter (a_right and not b_right), count(*) filter (not a_right and b_right)) as m from pairs group by all)", lambda a: R.contingency(PAIR(a).withColumnRenamed("a_bank", "bank"), "bank").withColumn("p", stats.mcnemar("b", "c")).select("bank", significant("p").alias("p")))
+on_answers("e9_rho", f", {GROUPS} select g.model, g.condition, round(case when f.k / f.n > 0.2 then (g.k / g.n - 0.2) / (f.k / f.n - 0.2) end, 6) as rho from g join g f on g.model = f.model and f.condition = 'full'", lambda a: rounded(R.score_report(a).select("model", "condition", "rho"), 6))
+on_answers("flagship_score_report", f", {GROUPS}, {FAV}, {RATE} select g.model, g.condition, g.k, g.n, round(g.k / g.n, 8) as acc, round({WILSON.format(s='-').replace('k /', 'g.k /').replace('n', 'g.n').replace('g.n)', 'g.n)')}, 8) as lo, round({WILSON.format(s='+').replace('k /', 'g.k /').replace('n', 'g.n')}, 8) as hi, round((g.k - 0.2 * g.n) / sqrt(0.16 * g.n), 8) as z, g.unparsed, fav, round(fav_rate, 8) as fav_rate, round(case when o.k / o.n > 0.2 then (g.k / g.n - 0.2) / (o.k / o.n - 0.2) end, 8) as rho from g join h on g.model = h.model and g.condition = h.condition join g o on o.model = g.model and o.condition = 'full'", lambda a: rounded(R.score_report(a).drop("p")))
+
+# --- F: windows, G: sorts, H: sets -----------------------------------------------------
+
+on_options("f1_length_rank", "select item_pos, letter, row_number() over (partition by item_pos order by length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) desc, letter_idx) as rank from options", lambda o: surface.length_rank(o).select("item_pos", "letter", "rank"))
+on_options("f2_longest_is_answer", "select item_pos, max(r) filter (is_gold) as answer_rank, bool_or(is_gold and r = 1) as longest, bool_or(is_gold and r = 5) as shortest from (select *, row_number() over (partition by item_pos order by length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) desc, letter_idx) as r from options) group by item_pos", lambda o: surface.length_rank(o).groupBy("item_pos").agg(F.max(F.when(F.col("is_gold"), F.col("rank"))).alias("answer_rank"), F.bool_or(F.col("is_gold") & F.col("is_longest")).alias("longest"), F.bool_or(F.col("is_gold") & F.col("is_shortest")).alias("shortest")))
+NORM = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+on_items("f3_dedupe_per_bank", f"select item_pos, bank from (select *, row_number() over (partition by bank, {NORM.format('question')} order by item_pos) as r from items where {NORM.format('question')} <> '') where r = 1", lambda i: I.dedupe_first(i.withColumn("key", T.norm_lower(F.col("question"))), ["bank", "key"], ["item_pos"]).select("item_pos", "bank"))
+on_items("f4_dedupe_global", f"select item_pos from (select *, row_number() over (partition by {NORM.format('question')} order by item_pos) as r from items where {NORM.format('question')} <> '') where r = 1", lambda i: I.dedupe_first(i.withColumn("key", T.norm_lower(F.col("question"))), ["key"], ["item_pos"]).select("item_pos"))
+CASES = f"c as (select *, {NORM.format('opts[1]')} as k, count(*) over (partition by {NORM.format('opts[1]')}) as m from items)"
+WITH_CASE = lambda i: R.with_group_size(i.withColumn("key", T.norm_lower(F.element_at("options", "A"))), "key")
+on_items("d21_case_group_size", f", {CASES} select item_pos, m as group_size, case when m > 1 then md5(k) end as grp from c", lambda i: WITH_CASE(i).select("item_pos", "group_size", F.md5("case_group").alias("grp")))
+on_items("f6_one_per_case", f", {CASES} select item_pos from (select *, row_number() over (partition by case when m > 1 then 'g' || k else 'i' || item_pos end order by item_pos) as r from c) where r = 1", lambda i: I.one_per_case(WITH_CASE(i)).select("item_pos"))
+on_items("f7_stratified_sample", "select bank, item_pos from (select *, row_number() over (partition by bank order by sha256('20260902|' || item_pos)) as r from items) where r <= 100", lambda i: I.stratified_sample(i, "bank", 100, 20260902).select("bank", "item_pos"))
+on_items("f8_first_per_bank", "select bank, item_pos from (select *, row_number() over (partition by bank order by item_pos) as r from items) where r <= 5", lambda i: R.first_per_group(i, "bank", 5).select("bank", "item_pos"))
+on_options("f9_length_z", "select item_pos, letter, round((l - avg(l) over w) / coalesce(nullif(stddev_pop(l) over w, 0), 1), 6) as z from (select *, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as l from options) window w as (partition by item_pos)", lambda o: rounded(surface.dense_features(o).select("item_pos", "letter", F.col("len_z").alias("z")), 6))
+ABS = r"(always|never|all|only|must|no|entirely|completely)"
+on_options("f10_only_option_with_flag", "select item_pos, letter, f::int as numeric, (f and sum(f::int) over (partition by item_pos) = 1)::int as only_numeric from (select *, regexp_matches(text, '[0-9]') as f from options)", lambda o: surface.dense_features(o).select("item_pos", "letter", "numeric", "only_numeric"))
+on_options("f11_hash_permutation", "select item_pos, letter, row_number() over (partition by item_pos order by sha256('20260910|' || item_pos || '|' || letter)) - 1 as new_idx from options", lambda o: I.hash_order(o, 20260910).select("item_pos", "letter", "new_idx"))
+on_answers("f13_running_accuracy", f"select model, condition, seen, r as \"right\" from (select model, condition, row_number() over w as seen, sum({OK}::int) over w as r from answers window w as (partition by model, condition order by item_pos rows unbounded preceding)) where seen % 50 = 0", lambda a: R.running_accuracy(a, 50))
+on_items("f14_train_split", "select item_pos, case when ('0x' || substr(sha256('20260914|' || item_pos), 1, 8))::bigint % 10 < 1 then 'validation' else 'fit' end as part from items", lambda i: I.train_split(i, 20260914).select("item_pos", "part"))
+on_answers("g2_most_common", "select pick, n, row_number() over (order by n desc, p) as rank from (select pick, count(*) as n, min(item_pos) as p from answers group by pick)", lambda a: R.most_common(a, "pick"))
+on_answers("g4_top_bank", "select bank, count(*) as n from answers group by bank order by n desc, bank limit 1", lambda a: a.groupBy("bank").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bank").limit(1))
+on_answers("h1_union_all", "select bank, count(*) as n from (select bank from answers where condition = 'full' union all select bank from answers where model = 'm0') group by bank", lambda a: a.filter("condition = 'full'").unionByName(a.filter("model = 'm0'")).groupBy("bank").agg(F.count("*").alias("n")))
+on_answers("h2_distinct_banks", "select distinct bank from answers", lambda a: a.select("bank").distinct())
+on_answers("h5_groups_without_picks", "select model, bank from answers group by all having count(*) filter (pick = 'E' and condition = 'full') = 0", lambda a: a.groupBy("model", "bank").agg(F.count_if((F.col("pick") == "E") & (F.col("condition") == "full")).alias("n")).filter("n = 0").select("model", "bank"))
+on_answers("b22_correct", f"select item_pos, model, condition, {OK} as correct from answers", lambda a: a.select("item_pos", "model", "condition", R.correct().alias("correct")))
+on_answers("b28_alignment_violations", f", {PAIRED} select count(*) filter (a_gold is distinct from b_gold) as gold, count(*) filter (a_bank is distinct from b_bank) as bank from pairs", lambda a: R.violations(PAIR(a)))
+on_answers("c1_positional_join", f", {PAIRED} select item_pos, condition, a_pick, b_pick from pairs", lambda a: PAIR(a).select("item_pos", "condition", "a_pick", "b_pick"))
+on_answers("c3_run_groups", "select x.condition, x.n as n0, y.n as n1 from (select condition, count(*) as n from answers where model = 'm0' group by 1) x join (select condition, count(*) as n from answers where model = 'm1' group by 1) y on x.condition = y.condition", lambda a: a.filter("model = 'm0'").groupBy("condition").agg(F.count("*").alias("n0")).join(a.filter("model = 'm1'").groupBy("condition").agg(F.count("*").alias("n1")), "condition"))
+on_answers("a11_upsert", "select model, condition, count(*) as n, count(pick) as read from (select model, condition, pick from answers where model <> 'm1' union all select 'm1', condition, gold from answers where model = 'm0') group by all", lambda a: sinks.upserted(a, a.filter("model = 'm0'").withColumns({"model": F.lit("m1"), "pick": F.col("gold")})).groupBy("model", "condition").agg(F.count("*").alias("n"), F.count("pick").alias("read")))
+on_answers("a12_report_lines", f"select rtrim(rpad(bank, 10, ' ') || rpad((count(*) filter ({OK}))::varchar, 8, ' ') || rpad(count(*)::varchar, 8, ' ')) as line from answers group by bank", lambda a: sinks.report_lines(R.accuracy(a, "bank"), ("bank", 10), ("k", 8), ("n", 8)))
+
+# --- B: parsing and predicates, C: joins over items -------------------------------------
+
+MARK = "regexp_extract({}, '(?i)reference answer\\s*:?\\s*([A-Ga-g]+)', 1)"
+
+
+def on_raw(name: str, oracle: str | None, f: Callable[[DataFrame], DataFrame]) -> None:
+    query(oracle and f"with {V.RAW} {oracle}", name)(lambda spark, sf_dir: f(V.raw(spark, sf_dir)))
+
+
+LETTERS_OF = "regexp_extract_all(data, '(?:^|[ \\t\\n\\x0b\\f\\r])([A-G])[.]{}', 1)"
+ASCII_CLASS = f"r as (select *, {MARK.format('label')} as m, {LETTERS_OF.format('[ \\t\\n\\x0b\\f\\r]*')} as l from raw)"
+on_raw("b1_strict_parse_markers", f", {ASCII_CLASS} select pos, case when m = '' then 'no_marker' when length(m) > 1 then 'multi_answer' else 'other' end as why from r", lambda r: I.parse_strict(r).select("pos", F.when(F.col("reject").isin("no_marker", "multi_answer"), F.col("reject")).otherwise("other").alias("why")))
+on_raw("b1_strict_parse", None, lambda r: I.parse_strict(r).filter("reject is null").select("pos"))
+on_raw("b4_drop_reasons", None, lambda r: I.drop_reasons(I.parse_strict(r)))
+on_raw("b5_normalize_answer", "select pos, regexp_replace(upper(label), '[^A-Z]', '', 'g') as answer from raw", lambda r: r.select("pos", T.normalize_answer(F.col("label")).alias("answer")))
+on_raw("b8_option_shape", f", s as (select pos, {LETTERS_OF.format('[ \\t\\n\\x0b\\f\\r]')} as l, {NORM.format('data')} as k from raw), u as (select *, list_sort(list_distinct(l)) as q from (select *, row_number() over (partition by k order by pos) as rn from s) where rn = 1) select pos, case when len(l) = 0 then 'none' when len(l) <> len(q) then 'duplicate_letters' when q = ['A','B','C','D','E'] then 'clean_ABCDE' when q = (['A','B','C','D','E','F','G'])[1:len(q)] then 'clean_' || len(q) || '_options' else 'gapped_or_odd' end as shape from u", lambda r: audit.classify(r).select("pos", "shape"))
+on_raw("b9_b13_audit_summary", None, lambda r: audit.summary(audit.classify(r)))
+on_raw("b10_merged_records", f", s as (select pos, data, {LETTERS_OF.format('[ \\t\\n\\x0b\\f\\r]')} as l, {NORM.format('data')} as k from raw), u as (select * from (select *, row_number() over (partition by k order by pos) as rn from s) where rn = 1) select pos, case when regexp_matches(data, '(?i)\\[\\s*shared\\s+stem\\s*\\]') then 'with shared-stem marker' else 'without shared-stem marker' end as merged from u where len(l) <> len(list_distinct(l)) and len(regexp_extract_all(data, '(?i)\\[\\s*(?:single|multiple|multi)[\\s-]*choices?(?:\\s+questions?)?\\s*\\]')) >= 2", lambda r: audit.classify(r).filter("merged is not null").select("pos", "merged"))
+on_raw("b11_leaks", "select pos, case when regexp_matches(data, '(?i)haoxiang') then 'watermark_edu' when regexp_matches(data, '(?i)qq\\s*:?\\s*[0-9]{6,}') then 'watermark_qq' when regexp_matches(data, '^Unit\\s+[0-9]') then 'unit_header' when contains(data, '##########') then 'page_marker' end as leak from raw", lambda r: r.select("pos", T.first_named(F.col("data")).alias("leak")))
+on_raw("b12_answerability", f", r as (select pos, data, label, {MARK.format('label')} as m, {NORM.format('data')} as k from raw) select pos, case when m = '' then 'no_answer_marker' when length(m) > 1 then 'multi_answer' else 'single_answer' end as answerable from (select *, row_number() over (partition by k order by pos) as rn from r) where rn = 1", lambda r: audit.classify(r).select("pos", "answerable"))
+on_raw("b14_shared_stem", "select pos, regexp_matches(data, '(?i)\\[\\s*shared\\s+stem\\s*\\]') as shared from raw", lambda r: r.select("pos", T.matches(F.col("data"), T.SHARED).alias("shared")))
+query("select conv_id, turn, nullif(regexp_extract(upper(text), '(?:^|[^0-9A-Z_\\x{80}-\\x{10FFFF}])([A-E])(?:$|[^0-9A-Z_\\x{80}-\\x{10FFFF}])', 1), '') as pick from conversations where role = 'assistant'", "b18_extract_letter")(lambda spark, sf_dir: V.replies(spark, sf_dir).select("conv_id", "turn", T.extract_letter(F.col("text")).alias("pick")))
+query("select conv_id, turn, case when starts_with(upper(trim(text)), 'YES') then 'YES' else 'NO' end as verdict from conversations where role = 'assistant'", "b19_yes_no")(lambda spark, sf_dir: V.replies(spark, sf_dir).select("conv_id", "turn", T.yes_no(F.col("text")).alias("verdict")))
+BLOCK = "'A. ' || opts[1] || chr(10) || 'B. ' || opts[2] || chr(10) || 'C. ' || opts[3] || chr(10) || 'D. ' || opts[4] || chr(10) || 'E. ' || opts[5]"
+on_items("b16_prompts", f"select item_pos, md5(question || chr(10) || {BLOCK} || chr(10) || chr(10) || 'Answer with one letter.') as full_md5, md5({BLOCK} || chr(10) || chr(10) || '{I.PROMPTS['en', 'options'].split(chr(10))[-1]}') as options_md5 from items", lambda i: i.select("item_pos", F.md5(I.prompt("full")).alias("full_md5"), F.md5(I.prompt("options")).alias("options_md5")))
+on_items("b20_whole_text", f"select item_pos, md5(question || chr(10) || {BLOCK}) as whole_md5 from items", lambda i: i.select("item_pos", F.md5(I.whole_text(F.col("question"), F.col("options"))).alias("whole_md5")))
+ORDER = "o as (select item_pos, list(letter_idx order by sha256('20260910|' || item_pos || '|' || letter)) as ord from options group by item_pos)"
+
+
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = I.hash_order(V.options(spark, sf_dir), 20260910).groupBy("item_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("new_idx", "letter_idx"))), lambda x: x["letter_idx"]).alias("order"))
+    return I.apply_order(V.items(spark, sf_dir).join(w, "item_pos"))
+
+
+query(f"with {V.OPTIONS}, {ORDER} select i.item_pos, substr('ABCDE', list_position(ord, (ascii(answer) - 65)::int)::int, 1) as new_answer, md5(opts[ord[1] + 1] || '|' || opts[ord[5] + 1]) as ends from items i join o on i.item_pos = o.item_pos", "b23_apply_permutation")(lambda s, d: _ordered(s, d).select("item_pos", "new_answer", F.md5(F.concat_ws("|", F.element_at("new_options", "A"), F.element_at("new_options", "E"))).alias("ends")))
+HEX = "('0x' || substr(sha256({}), 1, 8))::bigint"
+on_options("b25_c9_swap_donor", f", ring as (select item_pos, bank, coalesce(lead(item_pos) over w, first_value(item_pos) over w) as donor from (select distinct item_pos, bank from options) window w as (partition by bank order by sha256('20260910|' || item_pos))), r as (select *, substr('ABCDE', ({HEX.format(chr(39) + '20260911|' + chr(39) + ' || item_pos')} % 5 + 1)::int, 1) as dl from ring where donor <> item_pos) select o.item_pos, o.letter, r.donor, r.dl as donor_letter, md5(t.text) as donor_md5 from options o join r on r.item_pos = o.item_pos join options t on t.item_pos = r.donor and t.letter = r.dl where o.is_gold", lambda o: I.swap_donor(o, 20260910).select("item_pos", "letter", "donor", "donor_letter", F.md5("donor_text").alias("donor_md5")))
+EVAL = "item_pos % 10 = 0"
+OT = NORM.format("text")
+on_options("c5_d23_option_overlap", f", m as (select item_pos, {OT} as t, count(*) as c from options where item_pos % 10 <> 0 group by all), v as (select distinct item_pos as other, {OT} as t from options where {EVAL}) select item_pos, max(shared)::bigint as shared from (select item_pos, other, sum(c) as shared from m join v on m.t = v.t group by all) group by item_pos", lambda o: matching.overlaps(o.filter("item_pos % 10 <> 0"), o.filter(EVAL)))
+on_items("c4_anti_join", f"select item_pos from items i where item_pos % 10 <> 0 and not exists (select 1 from items e where e.item_pos % 10 = 0 and {NORM.format('e.question')} = {NORM.format('i.question')})", lambda i: matching.without(i.filter("item_pos % 10 <> 0").withColumn("key", T.norm_lower(F.col("question"))), i.filter(EVAL).withColumn("key", T.norm_lower(F.col("question"))), "key").select("item_pos"))
+query(f"with {V.OPTIONS}, k as (select *, {NORM.format('question')} as key from items where item_pos % 10 <> 0 and bank <> 'src0'), m as (select item_pos, {OT} as t, count(*) as c from options where item_pos % 10 <> 0 group by all), v as (select distinct item_pos as other, {OT} as t from options where {EVAL}), s as (select item_pos, max(n) as shared from (select item_pos, other, sum(c) as n from m join v on m.t = v.t group by all) group by 1), w as (select k.item_pos, key, case when k.bank = 'src1' then 'bank' when exists (select 1 from items e where {EVAL.replace('item_pos', 'e.item_pos')} and {NORM.format('e.question')} = key) then 'question' when s.shared >= 3 then 'overlap' end as why from k left join s on s.item_pos = k.item_pos) select item_pos, case when why is null and row_number() over (partition by key, why is null order by item_pos) > 1 then 'repeat' else why end as why from w", "f5_training_pool")(
+    lambda s, d: matching.training_pool(
+        (i := V.items(s, d)).filter("item_pos % 10 <> 0 and bank <> 'src0'"),
+        i.filter(EVAL).withColumn("bank", F.lit("src1")),
+        (o := V.options(s, d)).filter("item_pos % 10 <> 0"),
+        o.filter(EVAL),
+    ).select("item_pos", "why")
+)
+on_items("c6_prefix_match", f", a as (select item_pos as pos, bank, answer, substr({NORM.format('question || chr(32) || opts[1]')}, 1, 80) as key from items), b as (select *, min(pos) over (partition by bank, key) as fp from a), j as (select i.item_pos, b.pos, row_number() over (partition by i.item_pos order by fp, b.pos) as r from items i join b on b.bank = i.bank and b.answer = i.answer and starts_with(b.key, substr({NORM.format('i.question')}, 1, 60))) select item_pos, pos as archive_pos from j where r = 1", lambda i: matching.prefix_match(i, i.select(F.col("item_pos").alias("pos"), "bank", "answer", F.concat_ws(" ", F.col("question"), F.element_at("options", "A")).alias("data"))))
+on_items("c2_index_join", "select a.item_pos, b.item_pos as other, a.answer = b.answer as same from items a join items b on b.item_pos = a.item_pos + 5", lambda i: i.select("item_pos", "answer").join(i.select((F.col("item_pos") - 5).alias("item_pos"), F.col("item_pos").alias("other"), F.col("answer").alias("theirs")), "item_pos").select("item_pos", "other", (F.col("answer") == F.col("theirs")).alias("same")))
+on_items("c11_exclusion", "select item_pos from items where item_pos not in (2, 59, 166, 381, 515, 587, 645, 652)", lambda i: i.filter(~F.col("item_pos").isin(2, 59, 166, 381, 515, 587, 645, 652)).select("item_pos"))
+query(f"with {V.ITEMS}, f as (select distinct substr(question, 1, 40) as x from items where question <> '' union select distinct substr(o, 1, 25) from (select unnest(opts) as o from items) where length(o) >= 25) select count(*) as leaks from f where exists (select 1 from items i where contains(i.bank || '|' || i.answer || '|' || length(i.question), f.x))", "c13_leak_check")(lambda s, d: surface.leak_check(i := V.items(s, d), i.select(F.concat_ws("|", "bank", "answer", F.length("question").cast("string")).alias("blob"))))
+query(None, "c7_c8_align_sequences")(lambda s, d: matching.align_sequences(*(i.select("bank", F.col("item_pos").alias("pos"), matching.alignment_key(F.col("answer"), F.col("question")).alias("key")) for i in (V.items(s, d), V.items(s, d).filter("item_pos % 7 <> 0")))))
+query(f"with {V.ITEMS}, c as (select bank, lang as path, ascii(lang) as ord, count(*) as n from items group by all) select bank, path, n from (select *, row_number() over (partition by bank order by n desc, ord) as r from c) where r = 1", "d22_best_candidate")(lambda s, d: matching.best_candidate(V.items(s, d).groupBy("bank", F.col("lang").alias("path")).agg(F.count("*").alias("n")).withColumn("order", F.ascii("path"))))
+
+# --- B15, D10-D12, I, L: surface, functions and classifier ------------------------------
+
+PLAIN = {"absolute": r"(?i)(?:^|[^0-9A-Za-z_])(always|never|all|only|must|no|entirely|completely)(?:$|[^0-9A-Za-z_])", "numeric": "[0-9]"}
+query(f"with {V.OPTIONS} select item_pos, letter, regexp_matches(text, '{PLAIN['absolute']}') as absolute, regexp_matches(text, '[0-9]') as numeric from options where lang = 'en'", "b15_lexical_flags")(lambda s, d: surface.with_flags(V.options(s, d).join(V.items(s, d).filter("lang = 'en'").select("item_pos"), "item_pos", "left_semi")).select("item_pos", "letter", "absolute", "numeric"))
+query(f"with {V.OPTIONS} select 'absolute' as flag, round(a, 8) as p_correct, round(b, 8) as p_any, round(a / nullif(b, 0), 8) as lift from (select avg(f::int) filter (is_gold) as a, avg(f::int) as b from (select is_gold, regexp_matches(text, '{PLAIN['absolute']}') as f from options where lang = 'en'))", "d12_lift")(lambda s, d: rounded(surface.lift(surface.with_flags(V.options(s, d).join(V.items(s, d).filter("lang = 'en'").select("item_pos"), "item_pos", "left_semi")), "absolute")))
+on_options("d10_mean_length", "select is_gold, round(avg(length(text)), 8) as mean_len, round(coalesce(nullif(stddev_pop(length(text)), 0), 1), 6) as sd from options group by is_gold", lambda o: o.groupBy("is_gold").agg(F.round(F.avg(F.length("text")), 8).alias("mean_len"), F.round(F.coalesce(F.nullif(F.stddev_pop(F.length("text")), F.lit(0.0)), F.lit(1.0)), 6).alias("sd")))
+on_items("b26_case_key", f", n as (select item_pos, bank, regexp_extract_all(substr(trim(regexp_replace(question, '\\s+', ' ', 'g')), 1, 300), '[0-9]+(?:\\.[0-9]+)?') as x from items) select item_pos, case when len(x) >= 3 then bank || '|' || array_to_string(x, '|') end as case_key from n", lambda i: i.select("item_pos", I.case_key(F.col("question"), F.col("bank")).alias("case_key")))
+on_items("b27_alignment_key", "select item_pos, answer || '|' || array_to_string((regexp_extract_all(question, '[0-9]+(?:\\.[0-9]+)?'))[1:8], ',') as key from items", lambda i: i.select("item_pos", matching.alignment_key(F.col("answer"), F.col("question")).alias("key")))
+on_items("i1_normalize", f"select item_pos, md5(trim(regexp_replace(question, '\\s+', ' ', 'g'))) as n from items", lambda i: i.select("item_pos", F.md5(T.norm(F.col("question"))).alias("n")))
+query(None, "i2_nfkc")(lambda s, d: V.items(s, d).select("item_pos", T.nfkc("question").alias("n")))
+on_items("i7_hash_id", "select item_pos, substr(sha256(trim(regexp_replace(question, '\\s+', ' ', 'g'))), 1, 16) as id from items", lambda i: i.select("item_pos", T.hash_id(T.norm(F.col("question"))).alias("id")))
+on_options("i9_tokens", "select item_pos, letter, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as n from options", lambda o: o.select("item_pos", "letter", F.size(T.tokens(F.col("text"))).alias("n")))
+JACCARD = "case when len(list_distinct(list_concat(a.w, b.w))) = 0 then 0 else len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) end"
+on_options("h3_c10_option_overlap", f", t as (select item_pos, letter, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from options) select a.item_pos, a.letter, round(sum({JACCARD}) / 4, 6) as overlap from t a join t b on a.item_pos = b.item_pos and a.letter <> b.letter group by all", lambda o: rounded(surface.dense_features(o).select("item_pos", "letter", "overlap"), 6))
+on_options("l1_dense_features", "select item_pos, letter, round(ln(1 + l), 6) as len_log, (r - 1) / 4 as rank_4, (r = 1)::int as is_longest, (r = 5)::int as is_shortest from (select item_pos, letter, l, row_number() over (partition by item_pos order by l desc, letter_idx) as r from (select *, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as l from options))", lambda o: rounded(surface.dense_features(o).select("item_pos", "letter", "len_log", "rank_4", "is_longest", "is_shortest"), 6))
+on_options("l3_standardised", "select round((avg(l) filter (is_gold) - avg(l)) / stddev_pop(l), 6) as gold_z from (select is_gold, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as l from options)", lambda o: surface.length_rank(o).agg(F.round((F.avg(F.when(F.col("is_gold"), F.col("len"))) - F.avg("len")) / F.stddev_pop("len"), 6).alias("gold_z")))
+on_options("l4_idf", ", g as (select distinct item_pos, letter, unnest(regexp_extract_all(lower(text), '[a-z0-9_\\x{80}-\\x{10FFFF}]{2,}')) as gram from options), c as (select gram, count(*) as df from g group by gram having count(*) >= 5) select gram, df, round(ln((1 + (select count(*) from options)) / (1 + df)) + 1, 6) as idf from c", lambda o: rounded(classifier.idf(classifier.word_grams(o)).filter(~F.contains("gram", F.lit(" "))), 6))
+
+
+@query(None, "l4_l8_option_classifier")
+def _classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = surface.dense_features(V.options(spark, sf_dir))
+    rows = I.train_split(rows, 20260914).cache()
+    return classifier.OptionClassifier(grid=(1.0,)).fit(rows).picks(rows.filter("part = 'validation'"))
+
+
+@query(None, "a14_k1_score_with_stub")
+def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = V.items(spark, sf_dir).select("item_pos", I.prompt("options").alias("prompt"))
+    return scoring.score(prompts, scoring.stub(1)).select("item_pos", T.extract_letter(F.col("reply")).alias("pick"), "error")
+
+
+on_answers("a16_route_by_name", "select distinct model, contains(model, ':') as local from answers", lambda a: a.select("model", F.contains("model", F.lit(":")).alias("local")).distinct())
+query(None, "f11_replayed_permutation")(lambda s, d: I.replayed_orders(s, V.items(s, d).count(), 20260910))
+on_items("f12_seeded_sample", "select item_pos from items order by sha256('7|' || item_pos) limit 30", lambda i: i.orderBy(I.sample_key(7, "item_pos")).limit(30).select("item_pos"))
+on_items("a13_review_rows", "select sample_index, verdict, section from (select item_pos as sample_index, 'NO' as verdict, 'rejected' as section from items where item_pos % 3 = 0) union all (select item_pos, 'YES', 'accepted' from items where item_pos % 3 <> 0 order by sha256('7|' || item_pos) limit 30)", lambda i: sinks.review_rows(i.select(F.col("item_pos").alias("sample_index"), F.when(F.col("item_pos") % 3 == 0, "NO").otherwise("YES").alias("verdict")), 7))
+query(name="export_features")(lambda s, d: surface.export_features(V.items(s, d), V.options(s, d)).select("item_pos", "id", "bank", "answer", "stem_len", "longest_is_answer", "answer_len_rank", "shared_stem"))
+ORACLES["export_features"] = f"with {V.OPTIONS}, r as (select item_pos, row_number() over (partition by item_pos order by length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) desc, letter_idx) as rk, is_gold from options) select i.item_pos, substr(sha256(trim(regexp_replace(question, '\\s+', ' ', 'g'))), 1, 16) as id, bank, answer, length(trim(regexp_replace(question, '\\s+', ' ', 'g'))) as stem_len, rk = 1 as longest_is_answer, rk as answer_len_rank, false as shared_stem from items i join r on r.item_pos = i.item_pos and r.is_gold"
