@@ -76,7 +76,7 @@ class OptionClassifier:
         n, best = fit.count(), None
         for c in self.grid:
             # The constant is a feature, so it is penalised like the others.
-            model = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=1000).fit(fit)
+            model = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=1000, tol=1e-4).fit(fit)
             self.model = model
             got = self.picks(rows.filter("part = 'validation'")).agg(F.avg((F.col("pick") == F.col("gold")).cast("int"))).first()[0] or 0.0
             if best is None or got > best[0]:
