@@ -15,10 +15,13 @@ for runs of the corpus order; nothing needs a global sort:
    repeats to depth ``length``. This drops nearly all text that is not repetitive.
 2. The easy runs: entries that agree over the phrase and all its windows. The whole
    phrase repeats.
-3. The hard runs: for what is left, the suffixes of the phrase are named one by one. An
-   agreeing group of (2) whose context others share takes part by one member.
+3. The hard runs: for what is left, the bytes around the phrase go into a small table,
+   and the same two steps run over blocks of its suffixes and at last over suffixes one
+   by one. An agreeing group of (2) whose context others share takes part by one member
+   that stands for two.
 
-Suffixes without a boundary near enough (text of short period) are entries of their own.
+Suffixes without a boundary near enough (text of short period) are entries of their own;
+those that repeat within one slice of text are known at once and travel as runs.
 Names have 128 bits wherever they decide. Each task holds one block of text; what
 travels is a few longs for each phrase of about length/4 bytes.
 
@@ -44,8 +47,22 @@ GRAM = 16
 SLICE = 1 << 20
 #: Rows in a batch that Python hands on.
 ROWS = 200_000
-#: lo and hi - lo of a phrase's windows in one long.
-SPAN = 1 << 12
+#: Windows of a known run.
+RUN = 4096
+#: Windows of a block of a hard entry.
+STEP = 16
+FIELD = 12
+
+
+def pack_span(lo: np.ndarray, hi: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """First and last window and boundary of an entry in one long."""
+    return lo << 2 * FIELD | (hi - lo) << FIELD | (b - lo)
+
+
+def unpack_span(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lo, mask = span >> 2 * FIELD, (1 << FIELD) - 1
+    return lo, lo + (span >> FIELD & mask), lo + (span & mask)
+
 
 _draw = random.Random("prefix-free parsing")
 BASES = [_draw.getrandbits(64) | 1 for _ in range(2)]
@@ -148,13 +165,32 @@ class Parser:
         i = i[(i >= own[0]) & (i < own[1])]
         b, doc, lo, hi = b[fine], doc[fine], lo[fine], hi[fine]
         whole = hi - lo + self.length
+        one = names(0, i, self.length, 4)
+        # Of windows that occur twice here, one is counted as two, and all are known.
+        _, at, n = np.unique(one, return_inverse=True, return_counts=True)
+        twice = n[at] > 1
+        counted = np.zeros(len(i), bool)
+        counted[np.unique(at, return_index=True)[1]] = True
+        known = i[twice]
+        first = np.flatnonzero(np.r_[True, (np.diff(known) > 1) | (np.diff(np.searchsorted(starts, known, "right")) > 0)]) if len(known) else np.empty(0, np.int64)
+        run_lo, run_hi = known[first], known[np.r_[first[1:], len(known)] - 1] if len(known) else known
+        cuts = (run_hi - run_lo) // RUN + 1  # runs of bounded length
+        part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        run_lo, run_hi = np.repeat(run_lo, cuts) + part * RUN, np.repeat(run_hi, cuts)
+        run_hi = np.minimum(run_hi, run_lo + RUN - 1)
+        i = i[counted]
+        weight = twice[counted] + 1
+        i, weight = np.r_[i, run_lo], np.r_[weight, np.zeros(len(run_lo), np.int64)]
+        own_name = names(0, i, self.length, 4)
         return {
             "doc": np.r_[doc, np.searchsorted(starts, i, "right") - 1],
             "lo": np.r_[lo, i],
-            "hi": np.r_[hi, i],
+            "hi": np.r_[hi, i[: len(i) - len(run_hi)], run_hi],
+            "b": np.r_[b, i],
             "alone": np.r_[np.zeros(len(b), np.int64), np.ones(len(i), np.int64)],
-            "need": np.r_[names(0, b, self.need, 1), names(0, i, self.length, 2)],
-            "e1": np.r_[names(0, lo, whole, 3), names(0, i, self.length, 4)],
+            "weight": np.r_[np.ones(len(b), np.int64), weight],
+            "need": np.r_[names(0, b, self.need, 1), own_name],
+            "e1": np.r_[names(0, lo, whole, 3), own_name],
             "e2": np.r_[names(1, lo, whole, 3), names(1, i, self.length, 4)],
         }
 
@@ -192,9 +228,12 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+ENTRY = ["need", "e1", "e2", "k1", "k2", "home", "span", "alone", "weight"]
+ENTRIES = ", ".join(f"{c} long" for c in ENTRY)
+
+
 def parse(keyed: DataFrame, length: int) -> DataFrame:
-    """(need, e1, e2, k1, k2, span, alone): the parse of the rows (k1, k2, text)."""
-    columns = ["need", "e1", "e2", "k1", "k2", "span", "alone"]
+    """The parse entries of the rows (k1, k2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(length)
@@ -205,72 +244,86 @@ def parse(keyed: DataFrame, length: int) -> DataFrame:
                 e = parser.entries(text, starts, ends, own)
                 which = np.array(held)[e["doc"]]
                 start = starts[e["doc"]] - offset
-                span = (e["lo"] - start) * SPAN + e["hi"] - e["lo"]
+                span = pack_span(e["lo"] - start, e["hi"] - start, e["b"] - start)
                 for i in range(0, len(which), ROWS):
                     part = slice(i, i + ROWS)
-                    yield pa.RecordBatch.from_arrays([_longs(c[part]) for c in (e["need"], e["e1"], e["e2"], k1[which], k2[which], span, e["alone"])], names=columns)
+                    yield pa.RecordBatch.from_arrays([_longs(c[part]) for c in (e["need"], e["e1"], e["e2"], k1[which], k2[which], np.zeros_like(span), span, e["alone"], e["weight"])], names=ENTRY)
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    return keyed.select("k1", "k2", "text").mapInArrow(run, ENTRIES)
 
 
-def suffix_names(todo: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, k1, k2, span, weight): the windows one by one of the hard entries in
-    ``spans`` (span * 2, plus 1 for one that stands for a group) of (k1, k2, text, spans)."""
-    columns = ["w1", "w2", "k1", "k2", "span", "weight"]
+def contexts(todo: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, home, stands, bytes): the bytes that the windows of the hard entries in
+    ``spans`` (span * 2, plus 1 for one that stands for a group) of (k1, k2, text, spans) hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
-            for row, text in enumerate(_texts(batch.column(2))):
-                spans = np.sort(batch.column(3)[row].values.to_numpy())
-                stands, spans = spans & 1, spans >> 1
-                lo, n = spans // SPAN, spans % SPAN + 1
-                at = 0
-                while at < len(lo):  # stretches of the text
-                    to = np.searchsorted(lo, lo[at] + SLICE)
-                    begin = int(lo[at])
-                    part = slice(at, to)
-                    end = int((lo[part] + n[part]).max()) + length
-                    names = Names(text[begin:end])
-                    i = np.repeat(lo[part] - begin - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(n[part].sum())
-                    weight = np.repeat(stands[part] + 1, n[part])
-                    for j in range(0, len(i), ROWS):
-                        x = i[j : j + ROWS]
-                        ids = (np.full(len(x), k[row], np.int64) for k in (k1, k2))
-                        yield pa.RecordBatch.from_arrays([_longs(c) for c in (names(0, x, length, 5), names(1, x, length, 5), *ids, (x + begin) * SPAN, weight[j : j + ROWS])], names=columns)
-                    at = to
-
-    return todo.select("k1", "k2", "text", "spans").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+            for k1, k2, text, spans in zip(*batch.columns, strict=True):
+                spans, text = spans.values.to_numpy(), text.as_buffer()
+                lo, hi, _ = unpack_span(spans >> 1)
+                data = [text[a:b].to_pybytes() for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)]
+                ids = (pa.array(np.full(len(lo), k.as_py(), np.int64)) for k in (k1, k2))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(spans >> 1), pa.array(spans & 1), pa.array(data, pa.binary())], names=["k1", "k2", "home", "stands", "bytes"])
 
+    return todo.select("k1", "k2", "text", "spans").mapInArrow(run, "k1 long, k2 long, home long, stands long, bytes binary")
 
-def repeated(keyed: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, spans): the windows of each text (k1, k2, text) that occur elsewhere."""
-    parsed = parse(keyed, length)
-    shared = parsed.groupBy("need").agg(F.count("*").alias("n")).filter("n > 1")
-    hopeful = cut(parsed.join(shared, "need").drop("need"))
+
+def finer(rows: DataFrame, length: int, step: int) -> DataFrame:
+    """Entries for blocks of ``step`` windows, counted from the boundary back, of the
+    entries in ``spans`` (span * 2 + stands) of (k1, k2, home, bytes, spans)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for k1, k2, home, data, spans in zip(*batch.columns, strict=True):
+                names = Names(np.frombuffer(data.as_buffer(), np.uint8))
+                base = home.as_py() >> 2 * FIELD
+                for span in spans.values.to_numpy().tolist():
+                    lo, hi, b = (int(x) for x in unpack_span(np.int64(span >> 1)))
+                    far = b - np.arange((b - hi) // step, (b - lo) // step + 1) * step  # last window of each whole block
+                    first, last = np.maximum(far - step + 1, lo), np.minimum(far, hi)
+                    n = len(far)
+                    x, whole = first - base, last - first + length
+                    same = lambda v, n=n: np.full(n, v, np.int64)
+                    parts.append([names(0, far - base, length - step + 1, 6), names(0, x, whole, 7), names(1, x, whole, 7), same(k1.as_py()), same(k2.as_py()), same(home.as_py()), pack_span(first, last, first if step == 1 else same(b)), same(int(step == 1)), same(1 + (span & 1))])
+            if parts:
+                yield pa.RecordBatch.from_arrays([_longs(np.concatenate([c.view(np.int64) for c in x])) for x in zip(*parts, strict=True)], names=ENTRY)
+
+    return rows.select("k1", "k2", "home", "bytes", "spans").mapInArrow(run, ENTRIES)
+
+
+def resolve(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Easy (k1, k2, span), whose windows all occur elsewhere, and hard entries (k1, k2,
+    home, span2: span * 2 plus 1 for one that stands for a group)."""
+    shared = entries.groupBy("need").agg(F.sum("weight").alias("n")).filter("n > 1")
+    hopeful = cut(entries.join(shared, "need").drop("need"))
     me = F.struct("k1", "k2", "span")
-    runs = hopeful.groupBy("e1", "e2").agg(F.count("*").alias("m"), F.min(me).alias("one")).filter("m > 1")
+    runs = hopeful.groupBy("e1", "e2").agg(F.sum("weight").alias("m"), F.min(me).alias("one")).filter("m > 1")
+    seen = hopeful.join(runs, ["e1", "e2"], "left")
+    easy = F.col("m").isNotNull()
+    stands = easy & (F.col("n") > F.col("m")) & (me == F.col("one"))
     seen = cut(
-        hopeful.join(runs, ["e1", "e2"], "left").select(
-            "k1",
-            "k2",
-            "span",
-            F.col("m").isNotNull().alias("easy"),
-            ((F.col("alone") == 0) & (F.col("m").isNull() | ((F.col("n") > F.col("m")) & (me == F.col("one"))))).alias("hard"),
-        )
+        seen.select("k1", "k2", "home", "span", (easy & (F.col("weight") < 2)).alias("easy"), ((F.col("alone") == 0) & (~easy | stands)).alias("hard"), easy.cast("long").alias("stands")).filter("easy or hard")
     )
-    todo = seen.filter("hard").groupBy("k1", "k2").agg(F.collect_set(F.col("span") * 2 + F.col("easy").cast("long")).alias("spans"))
-    windows = suffix_names(keyed.join(todo, ["k1", "k2"]), length)
-    twice = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1").select("w1", "w2")
-    hard = windows.filter("weight = 1").join(twice, ["w1", "w2"]).select("k1", "k2", "span")
-    return seen.filter("easy").select("k1", "k2", "span").union(hard).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+    return seen.filter("easy").select("k1", "k2", "span"), seen.filter("hard").select("k1", "k2", "home", (F.col("span") * 2 + F.col("stands")).alias("span2"))
+
+
+def repeated(keyed: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, spans): the windows of each text (k1, k2, text) that occur elsewhere."""
+    known, hard = resolve(parse(keyed, length))
+    todo = hard.groupBy("k1", "k2").agg(F.collect_set("span2").alias("spans"))
+    around = cut(contexts(keyed.join(todo, ["k1", "k2"]), length))
+    easy, hard = resolve(finer(around.withColumn("spans", F.array(F.col("home") * 2 + F.col("stands"))), length, STEP))
+    known = known.union(easy)
+    todo = hard.groupBy("k1", "k2", "home").agg(F.collect_set("span2").alias("spans"))
+    easy, _ = resolve(finer(around.join(todo, ["k1", "k2", "home"]), length, 1))
+    return known.union(easy).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
 
 def removed_spans(spans: np.ndarray, length: int) -> np.ndarray:
     """Maximal runs [start, end) of the bytes that the windows cover."""
-    spans = np.sort(spans)
-    start, end = spans // SPAN, spans // SPAN + spans % SPAN + length
-    end = np.maximum.accumulate(end)
+    start, last, _ = unpack_span(np.sort(spans))
+    end = np.maximum.accumulate(last + length)
     first = np.r_[True, start[1:] > end[:-1]]
     return np.stack([start[first], end[np.r_[first[1:], True]]], axis=1)
 

@@ -64,7 +64,8 @@ def test_slices_do_not_matter():
         rows = set()
         for t, _, starts, ends, own, offset in p.slices([text]):
             e = p.entries(t, starts, ends, own)
-            rows |= {(lo + offset, hi + offset, *k) for lo, hi, *k in zip(*(e[c].tolist() for c in ("lo", "hi", "alone", "need", "e1", "e2")))}
+            entries = zip(*(e[c].tolist() for c in ("lo", "hi", "alone", "need", "e1", "e2")))
+            rows |= {(lo + offset, hi + offset, *k) for lo, hi, *k in entries if not k[0]}
         found.append(rows)
     suffixes.SLICE = old
     assert found[0] == found[1]
