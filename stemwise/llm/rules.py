@@ -192,5 +192,7 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
     slim = cut(counted.drop(at[text]) if set(df.columns) == {text, id_column} else counted.select(at[id_column], *COUNTS))
     rules = rules_for(slim, labels, at[id_column], **options)
     rows = slim if set(df.columns) == {text, id_column} else counted
-    rows = rows.withColumns({"base_failed": base_failed(), "kept": verdict(rules)})
+    # A filter on kept must not be pushed below the counts: it would hold, and compute,
+    # a copy of them for every literal. The row id is always true and stops that.
+    rows = rows.withColumns({"base_failed": base_failed(), "kept": verdict(rules) & (F.monotonically_increasing_id() >= 0)})
     return rows.select(*(F.col(n).alias(c) for c, n in at.items() if n in rows.columns), *(F.col(c).alias(n) for c, n in out.items()))
