@@ -85,4 +85,32 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op3_chat_format, op4_simhash, op5_quality_rules, op6_media, op7_ctw_score, op8_cotraining, op9_shard, op10_pack)}
-ORACLES: dict[str, str] = {}
+#: The others have no SQL: they need CRC-32, XXH64, learned or coded forms.
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '/42'), 1, 13))::bigint as h
+  from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as r from d group by source),
+w as (select *, [5.0::double, 2.0::double, 1.0::double][((r - 1) % 3 + 1)::int] as w, source_size * 2.0::double as cap from s),
+o as (
+  select *, sum(cap) over (order by cap / w, r) - cap as cap_before, sum(w) over () - sum(w) over (order by cap / w, r) + w as w_left,
+    1.5::double * sum(source_size) over () as budget
+  from w),
+l as (select *, (budget - cap_before) / w_left as level from o),
+t as (
+  select source, source_size, r, budget,
+    least(cap, coalesce((select level from l where level * w <= cap order by cap / w, r limit 1) * w, cap)) as target
+  from l),
+q as (
+  select d.*, t.source_size, t.r, t.budget, t.target, sum(d.size) over (partition by t.r order by h, doc_id rows unbounded preceding) as own_end
+  from d join t on d.source is not distinct from t.source),
+e as (
+  select *, case when target > 0 then (source_size * p + own_end)::double / target else 0.0 end as v
+  from q, (select unnest([0, 1]) as p) where p = 0 or size > 0),
+g as (select *, sum(size) over (order by v, r, p, h, doc_id rows unbounded preceding) <= budget as taken from e)
+select doc_id, any_value(size) as size, any_value(source_size) as source_size, any_value(target) as target,
+  sum(case when taken then size else 0 end)::bigint as taken, count(*) filter (taken)::int as copies, any_value(source) as source
+from g group by doc_id""",
+}

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from stemwise.llm import chat, media, mixing, packing, rules, sharding, simhash
-from stemwise.llm.queries import QUERIES
+from stemwise.llm.queries import ORACLES, QUERIES
 
 ODD = [
     (1, "one two three four five", "a"),
@@ -70,6 +70,16 @@ def test_mix(spark, sf_dir, docs, odd):
     assert mixing.mix_sources(odd.withColumn("size", F.lit(1)).limit(0), "size").count() == 0
 
 
+def test_mix_oracle(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = con.sql(ORACLES["op2_mix_sources"]).df()
+    got = QUERIES["op2_mix_sources"](spark, sf_dir).toPandas()[list(want.columns)]
+    assert got.sort_values("doc_id").values.tolist() == want.sort_values("doc_id").values.tolist()
+
+
 def test_mix_follows_virtual_time(spark):
     """The whole order, by hand: finish times decide, and the budget cuts."""
     rows = [(i, "ab"[i % 2], 3 + i % 5) for i in range(40)]
