@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from ..functions import stats, text as T
 from ..operators import audit, classifier, items as I, matching, results as R, scoring, surface
@@ -229,3 +230,26 @@ on_items("f12_seeded_sample", "select item_pos from items order by sha256('7|' |
 on_items("a13_review_rows", "select sample_index, verdict, section from (select item_pos as sample_index, 'NO' as verdict, 'rejected' as section from items where item_pos % 3 = 0) union all (select item_pos, 'YES', 'accepted' from items where item_pos % 3 <> 0 order by sha256('7|' || item_pos) limit 30)", lambda i: sinks.review_rows(i.select(F.col("item_pos").alias("sample_index"), F.when(F.col("item_pos") % 3 == 0, "NO").otherwise("YES").alias("verdict")), 7))
 query(name="export_features")(lambda s, d: surface.export_features(V.items(s, d), V.options(s, d)).select("item_pos", "id", "bank", "answer", "stem_len", "longest_is_answer", "answer_len_rank", "shared_stem"))
 ORACLES["export_features"] = f"with {V.OPTIONS}, r as (select item_pos, row_number() over (partition by item_pos order by length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) desc, letter_idx) as rk, is_gold from options) select i.item_pos, substr(sha256(trim(regexp_replace(question, '\\s+', ' ', 'g'))), 1, 16) as id, bank, answer, length(trim(regexp_replace(question, '\\s+', ' ', 'g'))) as stem_len, rk = 1 as longest_is_answer, rk as answer_len_rank, false as shared_stem from items i join r on r.item_pos = i.item_pos and r.is_gold"
+
+
+# --- Further parsing, prompts and joins ------------------------------------------------
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as one text with an option run, and as a field with an option per line."""
+    line = lambda sep, end: F.concat_ws(end, *(F.concat(F.lit(f"{x}{sep}"), F.element_at("options", x)) for x in T.LETTERS))
+    return V.items(spark, sf_dir).select("item_pos", F.concat_ws(" ", F.col("question"), line(". ", " ")).alias("run"), line(" ", "\n").alias("lines"))
+
+
+query(name="b2_last_run")(lambda s, d: _rendered(s, d).select("item_pos", I.parse_last_run(F.col("run")).alias("x")).select("item_pos", "x.question", F.md5(F.element_at("x.options", "E")).alias("last_md5")))
+query(name="b3_line_options")(lambda s, d: I.parse_lines(_rendered(s, d), "item_pos", "lines").select("item_pos", F.size("options").alias("n"), F.md5(F.element_at("options", "A")).alias("first_md5")))
+ZH = "请只回答一个字母。"
+on_items("b17_prompts_zh", f"select item_pos, md5(question || chr(10) || {BLOCK} || chr(10) || chr(10) || '{ZH}') as full_md5 from items", lambda i: i.select("item_pos", F.md5(I.prompt("full", "zh")).alias("full_md5")))
+query(f"with {V.OPTIONS}, {ORDER}, n as (select i.item_pos, answer, opts, list_transform(ord, lambda x: opts[x + 1]) as new from items i join o on i.item_pos = o.item_pos) select item_pos, substr('ABCDE', list_position(new, opts[ascii(answer) - 64])::int, 1) as gold_by_text from n", "b24_gold_by_text")(
+    lambda s, d: _ordered(s, d).select("item_pos", T.letter_at(F.array_position(F.transform(F.array(*map(F.lit, T.LETTERS)), lambda x: F.element_at("new_options", x)), F.element_at(F.col("options"), F.col("answer"))) - 1).alias("gold_by_text"))
+)
+on_answers("c12_bank_lookup", "select item_pos, model, condition, 'file' || substr(bank, 5) as file from answers where bank <> 'bank7'", lambda a: a.join(a.sparkSession.createDataFrame([(f"bank{i}", f"file{i}") for i in range(7)], "bank string, file string"), "bank").select("item_pos", "model", "condition", "file"))
+on_answers("c14_second_pass", "select f.item_pos, f.model, s.pick as second from (select * from answers where condition = 'full' and pick = gold) f left join (select * from answers where condition = 'options' and pick is not null) s on s.item_pos = f.item_pos and s.model = f.model", lambda a: a.filter("condition = 'full' and pick = gold").select("item_pos", "model").join(a.filter("condition = 'options' and pick is not null").select("item_pos", "model", F.col("pick").alias("second")), ["item_pos", "model"], "left"))
+on_answers("h6_accept_reject", f"select model, count(*) filter ({OK}) as accepted, count(*) filter (not {OK}) as rejected from answers group by model", lambda a: a.filter(R.correct()).groupBy("model").agg(F.count("*").alias("accepted")).join(a.filter(~R.correct()).groupBy("model").agg(F.count("*").alias("rejected")), "model"))
+on_answers("h4_ordered_distinct", "select model, row_number() over (order by p, model) as place from (select model, min(item_pos) as p from answers group by model)", lambda a: R.first_seen(a, "model").select("model", F.row_number().over(Window.orderBy("first_pos", "model")).alias("place")))
+on_items("i5_length_substring", "select item_pos, length(question) as n, substr(question, 3, 5) as part from items", lambda i: i.select("item_pos", F.length("question").alias("n"), F.substring("question", 3, 5).alias("part")))
