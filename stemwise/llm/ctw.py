@@ -34,7 +34,7 @@ from .common import cut
 
 DEPTH = 5
 GRAMS, WORDS = 0, 1
-BLOCK_BYTES = 48_000_000
+BLOCK_BYTES = 20_000_000
 CHUNK = 4_000_000
 END = b"\n"
 LN10 = float(np.log(10.0))
@@ -98,7 +98,7 @@ def tally(texts: Iterator[tuple[bool, bytes | None]], depth: int) -> tuple[np.nd
             key, n = np.unique(coded[trains].keys()[0], return_counts=True)
             parts.append((key, n if trains else np.zeros(len(n), np.int64)))
             coded[trains] = Coded(depth)
-            if sum(len(k) for k, _ in parts) > 4_000_000:
+            if sum(len(k) for k, _ in parts) > 1_500_000:
                 parts = merge(parts)
 
     for trains, text in texts:
@@ -279,10 +279,42 @@ def model(grams: DataFrame, depth: int) -> DataFrame:
 # --- scoring --------------------------------------------------------------------------
 
 
+class Lookup:
+    """Values of 48-bit keys, all known: open addressing, a whole array at a time."""
+
+    MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        bits = max(10, (2 * len(key)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        owner = np.full(1 << bits, -1, np.int64)
+        at, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            free = left[owner[at[left]] < 0]
+            owner[at[free]] = free
+            left = left[owner[at[left]] != left]
+            at[left] = at[left] + 1 & self.last
+        self.key = np.full(1 << bits, 2**64 - 1, np.uint64)
+        self.value = np.zeros(1 << bits)
+        self.key[at], self.value[at] = key, value
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * self.MULTIPLIER >> self.shift).astype(np.int64)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        at = self._slot(key)
+        left = np.flatnonzero(self.key[at] != key)
+        while len(left):
+            at[left] = at[left] + 1 & self.last
+            left = left[self.key[at[left]] != key[left]]
+        return self.value[at]
+
+
 def score_texts(texts: list[bytes | None], key: np.ndarray, cost: np.ndarray, name: np.ndarray, c: np.ndarray, ends: int, depth: int) -> dict[str, np.ndarray]:
-    """Tokens, known tokens, sum of log10(c + 0.5) and score of each text. key, name: sorted."""
+    """Tokens, known tokens, sum of log10(c + 0.5) and score of each text. name: sorted."""
     n, known, base, score = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
     cost_of: dict[bytes, float] = {}
+    look = Lookup(key, cost)
     coded, first = Coded(depth), 0
     end_cost, end_known = float(np.log10(ends + 0.5)), int(ends > 0)
     floor = float(np.log10(0.5))
@@ -290,7 +322,7 @@ def score_texts(texts: list[bytes | None], key: np.ndarray, cost: np.ndarray, na
     def flush(upto: int) -> None:
         nonlocal coded, first
         keys, starts = coded.keys()
-        score[first:upto] = np.add.reduceat(cost[np.searchsorted(key, keys)], starts)
+        score[first:upto] = np.add.reduceat(look(keys), starts)
         coded, first = Coded(depth), upto
 
     for i, text in enumerate(texts):
