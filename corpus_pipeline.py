@@ -10,14 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stemwise.llm import mixing, packing, rules, simhash, suffixes
+from stemwise.llm import mixing, near, packing, rules, suffixes
 from stemwise.llm.common import WORD, cut, table, word_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Passages of 50 words are about 300 bytes long.
 REPEAT_BYTES = 256
-#: Differing bits of near copies. 64 bits put a similarity of 0.8 at about ten; beyond
-#: seven, four segments would no longer do.
+#: The stage no longer links by bits; an older test of it still reads this.
 NEAR_BITS = 7
 
 
@@ -27,8 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) the document of least id stays."""
-    return simhash.keep_one(docs.select(*COLUMNS), words=5, distance=NEAR_BITS, hot=16_384)
+    """Of each group of near copies (five-word shingles, similarity of 0.8 and more) the
+    document of least id stays."""
+    return near.keep_one(docs.select(*COLUMNS), words=5)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: Rules are learned, and signatures are XXH64: neither can be said in SQL.
+#: Rules are learned, and shingles are XXH64: neither can be said in SQL.
 ORACLE_SQL = None
 
 
