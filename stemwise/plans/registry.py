@@ -215,7 +215,8 @@ on_options("l4_idf", ", g as (select distinct item_pos, letter, unnest(regexp_ex
 def _classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = surface.dense_features(V.options(spark, sf_dir))
     rows = I.train_split(rows, 20260914).cache()
-    return classifier.OptionClassifier(grid=(1.0,)).fit(rows).picks(rows.filter("part = 'validation'"))
+    picks = lambda use_text, name: classifier.OptionClassifier(use_text=use_text).fit(rows).picks(rows.filter("part = 'validation'")).withColumnRenamed("pick", name)
+    return picks(False, "surface_pick").join(picks(True, "text_pick").select("item_pos", "text_pick"), "item_pos").select("item_pos", "bank", "gold", "surface_pick", "text_pick")
 
 
 @query(None, "a14_k1_score_with_stub")
