@@ -6,8 +6,8 @@ by one at most, slots are gapless, and ``locate`` computes both for a row number
 without touching the data.
 
 Cases: null and repeated keys are numbered like any other; wholly equal rows are
-counted first and told apart only by their number; an empty table gives no rows; null
-text counts as empty.
+counted first and told apart only by their number, however many they are; an empty table
+gives no rows; null text counts as empty.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import cut, fan, fresh, running_total
 
 PRIME = 2**31 - 1
+#: Copies of a row that one task numbers.
+PART = 1_000_000
 
 
 class Feistel:
@@ -50,30 +52,47 @@ class Feistel:
             pass
         return x
 
+    @staticmethod
+    def _mixed(v: str, k: str) -> str:
+        t = f"(({v} % {PRIME}L * {k}.k + {k}.c) % {PRIME}L)"
+        return f"(({t} * {t} + {k}.d) % {PRIME}L)"
+
+    def _pairs(self) -> str:
+        keys = lambda k: f"'k', {k[0]}L, 'c', {k[1]}L, 'd', {k[2]}L"
+        pairs = zip(self.keys[::2], self.keys[1::2], strict=True)
+        return f"array({', '.join(f'named_struct({keys(p)}, {chr(39)}e{chr(39)}, named_struct({keys(q)}))' for p, q in pairs)})"
+
+    def _start(self, x: str) -> str:
+        return f"named_struct('l', {x} div {self.b}L, 'r', {x} % {self.b}L)"
+
     def once_sql(self, x: str) -> str:
         """``once`` as a SQL expression over the expression ``x``."""
+        left = f"((s.l + {self._mixed('s.r', 'p')}) % {self.a}L)"
+        step = f"transform(array(named_struct('l', {left}, 'r', s.r)), s -> named_struct('l', s.l, 'r', (s.r + {self._mixed('s.l', 'p.e')}) % {self.b}L))[0]"
+        return f"aggregate({self._pairs()}, {self._start(x)}, (s, p) -> {step}, s -> s.l * {self.b}L + s.r)"
 
-        def mixed(v: str, k: str) -> str:
-            t = f"(({v} % {PRIME}L * {k}.k + {k}.c) % {PRIME}L)"
-            return f"(({t} * {t} + {k}.d) % {PRIME}L)"
-
-        pairs = ", ".join(
-            f"named_struct('k', {p[0]}L, 'c', {p[1]}L, 'd', {p[2]}L, 'e', named_struct('k', {q[0]}L, 'c', {q[1]}L, 'd', {q[2]}L))"
-            for p, q in zip(self.keys[::2], self.keys[1::2], strict=True)
-        )
-        left = f"((s.l + {mixed('s.r', 'p')}) % {self.a}L)"
-        step = f"transform(array(named_struct('l', {left}, 'r', s.r)), s -> named_struct('l', s.l, 'r', (s.r + {mixed('s.l', 'p.e')}) % {self.b}L))[0]"
-        start = f"named_struct('l', {x} div {self.b}L, 'r', {x} % {self.b}L)"
-        return f"aggregate(array({pairs}), {start}, (s, p) -> {step}, s -> s.l * {self.b}L + s.r)"
+    def before_sql(self, x: str) -> str:
+        """The value that ``once`` maps to ``x``, as a SQL expression."""
+        left = f"pmod(t.l - {self._mixed('t.r', 'p')}, {self.a}L)"
+        undo = f"transform(array(named_struct('l', s.l, 'r', pmod(s.r - {self._mixed('s.l', 'p.e')}, {self.b}L))), t -> named_struct('l', {left}, 'r', t.r))[0]"
+        return f"aggregate(reverse({self._pairs()}), {self._start(x)}, (s, p) -> {undo}, s -> s.l * {self.b}L + s.r)"
 
     def walks(self, spark: SparkSession) -> int:
-        """The most steps that any cycle walk takes: 1 plus the longest run of
-        values n..a*b-1 that map to one another. There are fewer than a of them."""
-        left = spark.range(self.n, self.a * self.b).select(F.expr(self.once_sql("id")).alias("v"))
+        """The most steps that the walk of any x < n takes.
+
+        Only values n..a*b-1 make a walk longer; there are fewer than a of them. A cycle
+        that lies wholly among them is never entered, so they are followed only from
+        those that some x < n maps to, and each such walk leaves them again.
+        """
+        outside = spark.range(self.n, self.a * self.b).select(F.col("id").alias("v"))
+        left = cut(outside.filter(F.expr(self.before_sql("v")) < self.n))
         most = 1
         while left.count():
             most += 1
-            left = cut(left.filter(F.col("v") >= self.n).select(F.expr(self.once_sql("v")).alias("v")))
+            if most > self.a * self.b - self.n + 1:
+                raise RuntimeError("a cycle walk does not end")
+            step = left.select(F.expr(self.once_sql("v")).alias("v"))
+            left = cut(step.filter(F.col("v") >= self.n))
         return most
 
     def column(self, x: str, walks: int) -> Column:
@@ -89,6 +108,18 @@ def locate(row_number: int, n: int, shards: int, seed: int = 0) -> tuple[int, in
     return shard, slot
 
 
+def numbered(rows: DataFrame, number: str, most: int) -> DataFrame:
+    """The numbers __end - __n .. __end - 1 of each row. A row with more than PART copies
+    is cut into parts first, which are dealt anew, so no task makes all of them. ``most``:
+    the largest __n."""
+    if most > PART:
+        starts = F.sequence(F.col("__end") - F.col("__n"), F.col("__end") - 1, F.lit(PART).cast("long"))
+        rows = rows.withColumn("__from", F.explode(starts))
+        rows = rows.withColumns({"__n": F.least(F.col("__end") - F.col("__from"), F.lit(PART)), "__end": F.least("__end", F.col("__from") + PART)})
+        rows = rows.repartition("__from").drop("__from")
+    return rows.withColumn(number, F.explode(F.sequence(F.col("__end") - F.col("__n"), F.col("__end") - 1)))
+
+
 def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """Add row_number, shard and slot to every row of ``df``.
 
@@ -100,11 +131,11 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     names = [f"__c{i}" for i in range(len(df.columns))]
     rows = df.toDF(*names).groupBy(*names).agg(F.count("*").alias("__n"))
     rows = cut(rows.withColumn("__h", F.xxhash64(F.lit(seed), *names)))
-    n = int(rows.agg(F.sum("__n")).first()[0] or 0)
+    n, most = (int(x or 0) for x in rows.agg(F.sum("__n"), F.max("__n")).first())
     buckets = fan(n)
     rows = rows.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
     rows = running_total(rows, F.col("__n"), [], "__b", ["__h", *names], "__end")
-    rows = rows.withColumn(number, F.explode(F.sequence(F.col("__end") - F.col("__n"), F.col("__end") - 1)))
+    rows = numbered(rows, number, most)
     permutation = Feistel(n, seed)
     rows = rows.withColumn("__p", permutation.column(f"`{number}`", permutation.walks(df.sparkSession)))
     return rows.select(

@@ -297,9 +297,31 @@ def test_sharding(spark, sf_dir, docs, odd):
     assert sharding.shard_rows(odd.limit(0), 3).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 4097])
-def test_feistel_is_a_permutation(n, spark):
-    p = sharding.Feistel(n, seed=n)
+@pytest.mark.parametrize("n", [0, 3, 8, 97, 1226])
+def test_walks_end(n, spark):
+    """For these counts some seeds have cycles wholly outside 0..n-1."""
+    for seed in range(10):
+        p = sharding.Feistel(n, seed)
+        most = 1
+        for x in range(n):
+            v, steps = p.once(x), 1
+            while v >= n:
+                v, steps = p.once(v), steps + 1
+            most = max(most, steps)
+        assert p.walks(spark) == most
+
+
+def test_copies_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 10)
+    df = spark.range(45).selectExpr("if(id < 37, 0, id) as doc_id")
+    out = sharding.shard_rows(df, 4, seed=1).toPandas()
+    assert sorted(out.row_number) == list(range(45)) and (out.doc_id == 0).sum() == 37
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+@pytest.mark.parametrize("n, seed", [(1, 1), (2, 2), (3, 3), (8, 0), (10, 10), (97, 97), (1000, 1000), (1226, 9), (4097, 4097)])
+def test_feistel_is_a_permutation(n, seed, spark):
+    p = sharding.Feistel(n, seed)
     want = [p(i) for i in range(n)]
     assert sorted(want) == list(range(n))
     got = spark.range(n).select("id", p.column("id", p.walks(spark)).alias("p")).toPandas().sort_values("id").p.tolist()
