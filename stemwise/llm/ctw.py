@@ -6,37 +6,50 @@ before it. Each context node mixes its own Krichevsky-Trofimov estimate with the
 of its children's, half and half, so all depths take part; the mixture's posterior,
 frozen after training, gives each decision's probability.
 
-The model grows with the corpus, so it is never broadcast. Texts are dealt into blocks;
-the distinct (context, byte) strings of a block travel to the model's partitions and
-come back with their code lengths, and each block is then scored by its own dictionary.
-A context tree is split by its two nearest bytes; only what lies above, at most 65,280
-nodes whatever the corpus, is summed up on the driver.
-
-Words are counted by XXH64, a 64-bit name.
-
-Cases: null text is empty and costs the end token alone; a null id trains; repeated rows
-count and are scored as often as they occur; without training rows all estimates are
-uniform; an empty table gives no rows.
+The model grows with the corpus, so it is never broadcast. One pass over the texts puts
+them into chunks, with the distinct (context, byte) strings and words of each chunk and
+their counts. These dictionaries travel as packed arrays, dealt into buckets by a
+string's two nearest bytes: bucket by bucket they are added up, the trees are weighted,
+and every chunk's strings get their code lengths back. Each chunk is then scored by its
+own dictionary. Nothing is dealt by a text's or row's value, so no text, word or row is a
+hot key; a context tree is split by its two nearest bytes, and only what lies above, at
+most 65,280 nodes whatever the corpus, is summed up on the driver.
+
+Words are counted by XXH64, a 64-bit name. Costs travel as multiples of 2**-36.
+
+Cases: null text is empty and costs the end token alone; texts of any length are worked
+on in pieces cut at white space; a null id trains; repeated rows count and are scored as
+often as they occur; without training rows all estimates are uniform; an empty table
+gives no rows; other columns are left out, and results get a trailing underscore where
+the id column has their name.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, fresh
 
-DEPTH = 5
-GRAMS, WORDS = 0, 1
-BLOCK_BYTES = 20_000_000
-CHUNK = 4_000_000
+DEPTH = 6
+GRAMS, WORDS, TEXTS = 0, 1, 2
+#: Bytes of texts that share a dictionary, and that are worked on at once.
+CHUNK, PIECE = 20_000_000, 4_000_000
+#: Dictionaries of a bucket that one task adds up.
+FAN_IN = 256
+#: Strings that are weighted at once, if they are not all of one pair of nearest bytes.
+BLOCK = 200_000
 END = b"\n"
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+SCALE = 2.0**36
 LN10 = float(np.log(10.0))
 
 
@@ -46,6 +59,18 @@ def stream(text: bytes | None) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words) + END
 
 
+def pieces(text: bytes | None) -> Iterator[tuple[list[bytes], bytes]]:
+    """``stream`` of a text, cut at white space into pieces."""
+    text, at, begun = (text or b"").lower(), 0, False
+    while at <= len(text):
+        gap = SPACE.search(text, at + PIECE) if len(text) - at > PIECE else None
+        upto = gap.start() if gap else len(text)
+        words = text[at:upto].split()
+        coded = (b" " if begun and words else b"") + b" ".join(words)
+        at, begun = upto + 1, begun or bool(words)
+        yield words, coded + (b"" if gap else END)
+
+
 def gram_keys(coded: bytes, depth: int = DEPTH) -> np.ndarray:
     """For each byte after the first ``depth``: the bytes before it, nearest first, then
     itself, as one number."""
@@ -58,18 +83,22 @@ def gram_keys(coded: bytes, depth: int = DEPTH) -> np.ndarray:
 
 
 class Coded:
-    """Coded texts one after the other, each behind ``depth`` line feeds."""
+    """Coded pieces one after the other, each behind the ``depth`` bytes before it (line
+    feeds at the start of a text)."""
 
     def __init__(self, depth: int = DEPTH):
         self.depth, self.parts, self.size, self.sizes = depth, [], 0, []
 
-    def add(self, coded: bytes) -> None:
-        self.parts += [END * self.depth, coded]
+    def add(self, coded: bytes, before: bytes | None = None) -> bytes:
+        """Takes a piece, and returns the last ``depth`` bytes."""
+        before = END * self.depth if before is None else before
+        self.parts += [before, coded]
         self.size += len(coded)
         self.sizes.append(len(coded))
+        return coded[-self.depth :] if len(coded) >= self.depth else (before + coded)[-self.depth :]
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of all coded bytes, and where each text's start."""
+        """Keys of all coded bytes, and where each piece's start."""
         key = gram_keys(b"".join(self.parts), self.depth)
         sizes = np.array(self.sizes)
         begin = np.cumsum(sizes + self.depth) - sizes - self.depth
@@ -79,75 +108,157 @@ class Coded:
         return key[own], np.cumsum(sizes) - sizes
 
 
-def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    if len(parts) < 2:
-        return parts
-    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return [(key, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64))]
-
-
-def tally(texts: Iterator[tuple[bool, bytes | None]], depth: int) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-    """Training counts of all distinct strings and words of the texts (trains, text)."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    words: Counter = Counter()
-    coded = {True: Coded(depth), False: Coded(depth)}
-
-    def flush(trains: bool) -> None:
-        nonlocal parts
-        if coded[trains].sizes:
-            key, n = np.unique(coded[trains].keys()[0], return_counts=True)
-            parts.append((key, n if trains else np.zeros(len(n), np.int64)))
-            coded[trains] = Coded(depth)
-            if sum(len(k) for k, _ in parts) > 1_500_000:
-                parts = merge(parts)
-
-    for trains, text in texts:
-        said, bytes_ = stream(text)
-        if trains:
-            words.update(said)
-        else:
-            words.update(dict.fromkeys(said, 0))
-        coded[trains].add(bytes_)
-        if coded[trains].size > CHUNK:
-            flush(trains)
-    flush(True)
-    flush(False)
-    parts = merge(parts)
-    key, n = parts[0] if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    return key, n, words
+class Tally:
+    """Distinct keys and their counts, added up now and then."""
+
+    def __init__(self):
+        self.parts, self.held, self.limit = [], 0, 2_000_000
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        if not len(key):
+            return
+        self.parts.append((key, n))
+        self.held += len(key)
+        if self.held > self.limit:
+            self.parts = [self.total()]
+            self.held = len(self.parts[0][0])
+            self.limit = 2_000_000 + 2 * self.held
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        key = np.concatenate([k for k, _ in self.parts])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], np.concatenate([n for _, n in self.parts])[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return key[first], np.add.reduceat(n, first)
 
 
 def word_names(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _rows(kind: int, key: np.ndarray, n: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(key), 200_000):
-        k = key[i : i + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int64)), pa.array(np.full(len(k), kind, np.int64)), pa.array(k.view(np.int64)), pa.array(n[i : i + 200_000])], names=["block", "kind", "key", "n"])
+def packed(a: np.ndarray) -> bytes:
+    """The bytes of an array of 64-bit numbers, compressed place by place."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def _emit(block: int, key: np.ndarray, n: np.ndarray, words: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    yield from _rows(GRAMS, key, n, block)
-    names = word_names(list(words))
-    order = np.argsort(names)
-    yield from _rows(WORDS, names[order], np.fromiter(words.values(), np.int64, len(words))[order], block)
+def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
-ROW = "block long, kind long, key long, n long"
+def pack_keys(key: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return packed(np.diff(key, prepend=np.uint64(0)))
 
 
-def counts(rows: DataFrame, depth: int) -> DataFrame:
-    """(block, kind, key, n): what each input partition of (trains, text) counts; block 0."""
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def texts() -> Iterator[tuple[bool, bytes | None]]:
-            for b in batches:
-                yield from zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1).cast(pa.binary())), strict=True)
 
-        yield from _emit(0, *tally(texts(), depth))
+def bucket_of(kind: int, key: np.ndarray, buckets: int, depth: int) -> np.ndarray:
+    """Strings go by their two nearest bytes, words by their names."""
+    part = (key >> np.uint64(8 * (depth - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32) if kind == GRAMS else key
+    return (part % np.uint64(buckets)).astype(np.int64)
+
+
+class Chunk:
+    """Texts with the dictionaries of their strings and words."""
+
+    def __init__(self, depth: int, buckets: int):
+        self.depth, self.buckets, self.size, self.slices = depth, buckets, 0, []
+        self.found = {GRAMS: Tally(), WORDS: Tally()}
+        self.coded = {True: Coded(depth), False: Coded(depth)}
+        self.words: Counter = Counter()
+
+    def add(self, trains: bool, text: bytes | None) -> None:
+        before = None
+        for words, coded in pieces(text):
+            self.words.update(words if trains else dict.fromkeys(words, 0))
+            before = self.coded[trains].add(coded, before)
+            self.size += len(coded)
+            if self.coded[trains].size > PIECE:
+                self.flush(trains)
+
+    def flush(self, trains: bool) -> None:
+        if self.coded[trains].sizes:
+            key, n = np.unique(self.coded[trains].keys()[0], return_counts=True)
+            self.found[GRAMS].add(key, n if trains else np.zeros(len(n), np.int64))
+            self.coded[trains] = Coded(self.depth)
+        self.found[WORDS].add(word_names(list(self.words)), np.fromiter(self.words.values(), np.int64, len(self.words)))
+        self.words = Counter()
+
+    def rows(self, number: int) -> Iterator[tuple[int, int, int, bytes, bytes | None]]:
+        """(chunk, kind, bucket, a, b): keys and counts, and the texts as an Arrow stream."""
+        for trains in (True, False):
+            self.flush(trains)
+        for kind, tally in self.found.items():
+            key, n = tally.total()
+            bucket = bucket_of(kind, key, self.buckets, self.depth)
+            order = np.argsort(bucket, kind="stable")
+            first = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+            for b, (i, j) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                if i < j:
+                    yield number, kind, b, pack_keys(key[order[i:j]]), packed(n[order[i:j]])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.slices[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in self.slices:
+                out.write_batch(part)
+        yield number, TEXTS, 0, sink.getvalue().to_pybytes(), None
+
 
-    return rows.select("trains", "text").mapInArrow(run, ROW)
+ROW = "chunk long, kind int, bucket int, a binary, b binary"
+SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def record(*row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SCHEMA, strict=True)], schema=SCHEMA)
+
+
+def chunks(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """The rows of all chunks of (id, trains, text), numbered by input partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, chunk = TaskContext.get().partitionId() << 32, Chunk(depth, buckets)
+        for batch in batches:
+            start = 0
+            for i, (trains, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                chunk.add(trains, text.as_py())
+                if chunk.size > CHUNK:
+                    chunk.slices.append(batch.slice(start, i + 1 - start))
+                    for row in chunk.rows(number):
+                        yield record(*row)
+                    start, number, chunk = i + 1, number + 1, Chunk(depth, buckets)
+            if start < batch.num_rows:
+                chunk.slices.append(batch.slice(start))
+        if chunk.slices:
+            for row in chunk.rows(number):
+                yield record(*row)
+
+    return rows.mapInArrow(run, ROW)
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """The dictionaries (chunk, kind, bucket, keys a, counts b) of each kind and bucket of a
+    chunk number added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tally = None, Tally()
+        for batch in batches:
+            for *place, a, b in zip(*(c.to_pylist() if i < 3 else c for i, c in enumerate(batch.columns)), strict=True):
+                if place != at:
+                    if at:
+                        key, n = tally.total()
+                        yield record(*at, pack_keys(key), packed(n))
+                    at, tally = place, Tally()
+                tally.add(unpack_keys(a.as_buffer()), unpacked(b.as_buffer()))
+        if at:
+            key, n = tally.total()
+            yield record(*at, pack_keys(key), packed(n))
+
+    place = ["chunk", "kind", "bucket"]
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, ROW)
 
 
 # --- the tree -------------------------------------------------------------------------
@@ -238,42 +349,64 @@ class Top:
         return out / LN10
 
 
-def _groups(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of a partition, by their two nearest bytes."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not parts:
-        return
-    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key)
-    key, n = key[order].view(np.uint64), n[order]
-    group = key >> np.uint64(8 * (depth - 1))
-    for part in np.split(np.arange(len(key)), np.flatnonzero(group[1:] != group[:-1]) + 1):
-        yield key[part], n[part]
+def blocks(key: np.ndarray, depth: int) -> Iterator[slice]:
+    """Slices of sorted keys that hold all strings of their pairs of nearest bytes."""
+    pair = key >> np.uint64(8 * (depth - 1))
+    ends = [*(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(key)]
+    start = 0
+    for end in ends:
+        if end - start >= BLOCK or end == len(key) > start:
+            yield slice(start, end)
+            start = end
 
 
-def model(grams: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, cost): log10 probability of the last byte of each string (key, n)."""
-    if depth < 2:
-        raise ValueError("depth must be 2 at least")
-    dealt = grams.select("key", "n").repartition(F.shiftrightunsigned("key", 8 * (depth - 1)))
+def top_of(model: DataFrame, depth: int) -> Top:
+    """Depths 0 and 1 of the strings of ``model``."""
+    if not 2 <= depth <= 7:
+        raise ValueError("depth must be between 2 and 7")
 
     def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n in _groups(batches, depth):
-            _, nodes = subtree(key, n, depth, 2)
-            place = nodes["node"] & np.uint64(0xFF)
-            near = nodes["node"] >> np.uint64(16)
-            yield pa.RecordBatch.from_arrays([pa.array((near << np.uint64(8) | place).view(np.int64)), *(pa.array(nodes[c]) for c in ("zeros", "ones", "log_pw"))], names=["node", "zeros", "ones", "below"])
-
-    summed = dealt.mapInArrow(upper, "node long, zeros double, ones double, below double").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect()
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                key, n = unpack_keys(a.as_buffer()), unpacked(b.as_buffer())
+                for part in blocks(key, depth):
+                    _, nodes = subtree(key[part], n[part], depth, 2)
+                    near = nodes["node"] >> np.uint64(16) << np.uint64(8) | nodes["node"] & np.uint64(0xFF)
+                    name, at = np.unique(near, return_inverse=True)
+                    sums = [np.bincount(at, nodes[c], len(name)) for c in ("zeros", "ones", "log_pw")]
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *map(pa.array, sums)], names=["node", "zeros", "ones", "below"])
+
+    found = model.filter(F.col("kind") == GRAMS).select("a", "b").mapInArrow(upper, "node long, zeros double, ones double, below double")
+    summed = found.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect()
     node, *sums = (np.array(x) for x in zip(*summed, strict=True)) if summed else (np.empty(0, np.int64), *(np.empty(0),) * 3)
-    top = Top(node, *sums)
+    return Top(node, *sums)
+
 
-    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n in _groups(batches, depth):
-            prob, _ = subtree(key, n, depth, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int64)), pa.array(key.view(np.int64)), pa.array(top.log10(key, prob, depth))], names=["kind", "key", "cost"])
+def answers(model: DataFrame, asked: DataFrame, top: Top, depth: int, copies: int) -> DataFrame:
+    """``asked`` with, in place of the counts b, what each key has: a string its code length
+    (log10 times SCALE), a word its count in training. Each bucket's model comes first, in
+    ``copies`` copies where many chunks ask."""
 
-    return dealt.mapInArrow(costs, "kind long, key long, cost double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = value = None
+        for batch in batches:
+            for chunk, kind, bucket, a, b in zip(*(c.to_pylist() if i < 3 else c for i, c in enumerate(batch.columns[:5])), strict=True):
+                if chunk >= 0:
+                    wanted = unpack_keys(a.as_buffer())
+                    yield record(chunk, kind, bucket, a.as_py(), packed(value[np.searchsorted(key, wanted)]))
+                    continue
+                key, value = unpack_keys(a.as_buffer()), unpacked(b.as_buffer())
+                if kind == GRAMS:
+                    n, value = value, np.empty(len(key), np.int64)
+                    for part in blocks(key, depth):
+                        prob, _ = subtree(key[part], n[part], depth, 2)
+                        value[part] = np.rint(top.log10(key[part], prob, depth) * SCALE).astype(np.int64)
+
+    copy = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")
+    told = model.select(F.lit(-1).cast("long").alias("chunk"), "kind", "bucket", "a", "b", copy)
+    both = told.union(asked.select("chunk", "kind", "bucket", "a", "b", F.pmod("chunk", F.lit(copies)).cast("int").alias("copy")))
+    place = ["kind", "bucket", "copy"]
+    return both.repartition(*place).sortWithinPartitions(*place, "chunk").mapInArrow(run, ROW)
 
 
 # --- scoring --------------------------------------------------------------------------
@@ -310,90 +443,100 @@ class Lookup:
         return self.value[at]
 
 
-def score_texts(texts: list[bytes | None], key: np.ndarray, cost: np.ndarray, name: np.ndarray, c: np.ndarray, ends: int, depth: int) -> dict[str, np.ndarray]:
-    """Tokens, known tokens, sum of log10(c + 0.5) and score of each text. name: sorted."""
-    n, known, base, score = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
-    cost_of: dict[bytes, float] = {}
-    look = Lookup(key, cost)
-    coded, first = Coded(depth), 0
-    end_cost, end_known = float(np.log10(ends + 0.5)), int(ends > 0)
-    floor = float(np.log10(0.5))
-
-    def flush(upto: int) -> None:
-        nonlocal coded, first
-        keys, starts = coded.keys()
-        score[first:upto] = np.add.reduceat(look(keys), starts)
-        coded, first = Coded(depth), upto
-
-    for i, text in enumerate(texts):
-        said, bytes_ = stream(text)
-        fresh = [w for w in set(said) if w not in cost_of]
-        if fresh:
-            at = np.searchsorted(name, word_names(fresh))
-            cost_of.update(zip(fresh, np.log10(c[at] + 0.5).tolist(), strict=True))
-        logs = list(map(cost_of.__getitem__, said))
-        n[i], base[i] = len(said) + 1, sum(logs) + end_cost
-        known[i] = len(said) - logs.count(floor) + end_known
-        coded.add(bytes_)
-        if coded.size > CHUNK:
-            flush(i + 1)
-    if coded.sizes:
-        flush(len(texts))
-    return {"n_tokens": n, "n_known": known, "base": base, "score": score}
+class Scorer:
+    """Scores a chunk's texts by what its strings and words have."""
+
+    def __init__(self, grams: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], ends: int, depth: int):
+        self.look = Lookup(grams[0], grams[1] / SCALE)
+        order = np.argsort(words[0])
+        self.name, self.log = words[0][order], np.log10(words[1][order] + 0.5)
+        self.cost_of: dict[bytes, float] = {}
+        self.end, self.end_known, self.floor, self.depth = float(np.log10(ends + 0.5)), int(ends > 0), float(np.log10(0.5)), depth
+
+    def logs(self, words: list[bytes]) -> list[float]:
+        new = [w for w in set(words) if w not in self.cost_of]
+        if new:
+            if len(self.cost_of) > 400_000:
+                self.cost_of, new = {}, list(set(words))
+            self.cost_of.update(zip(new, self.log[np.searchsorted(self.name, word_names(new))].tolist(), strict=True))
+        return list(map(self.cost_of.__getitem__, words))
+
+    def __call__(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        """Tokens, known tokens, sum of log10(c + 0.5) and score of each text."""
+        size = len(texts)
+        n, known, base, score = np.ones(size, np.int64), np.full(size, self.end_known), np.full(size, self.end), np.zeros(size)
+        coded, whose = Coded(self.depth), []
+
+        def flush() -> None:
+            nonlocal coded, whose
+            keys, starts = coded.keys()
+            np.add.at(score, whose, np.add.reduceat(self.look(keys), starts))
+            coded, whose = Coded(self.depth), []
+
+        for i, text in enumerate(texts):
+            before = None
+            for words, piece in pieces(text.as_py()):
+                logs = self.logs(words)
+                n[i] += len(words)
+                base[i] += sum(logs)
+                known[i] += len(words) - logs.count(self.floor)
+                if not piece:
+                    continue
+                before = coded.add(piece, before)
+                whose.append(i)
+                if coded.size > PIECE:
+                    flush()
+        if whose:
+            flush()
+        return {"n_tokens": n, "n_known": known, "base": base, "score": score}
 
 
 def score(df: DataFrame, trains: Column, id_column: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    rows = df.select(F.col(id_column).alias("id"), F.coalesce(trains, F.lit(True)).alias("trains"), F.col(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")), F.sum(F.col("trains").cast("long"))).first()
-    blocks, ends = max(1, -(-(size[0] or 0) // BLOCK_BYTES)), size[1] or 0
-
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Strings as they are; of the words only how many there are, and tokens."""
-        tokens = distinct = 0
-        for b in batches:
-            kind, n = b.column(0).to_numpy(), b.column(2).to_numpy()
-            words = n[kind == WORDS]
-            tokens, distinct = tokens + int(words.sum()), distinct + int((words > 0).sum())
-            yield b.filter(pa.array(kind == GRAMS))
-        yield pa.RecordBatch.from_arrays([pa.array([WORDS]), pa.array([tokens]), pa.array([distinct])], names=["kind", "key", "n"])
-
-    totals = counts(rows, depth).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    totals = cut(totals.mapInArrow(summary, "kind long, key long, n long"))
-    said = totals.filter(F.col("kind") == WORDS).agg(F.sum("key"), F.sum("n")).first()
+    rows = df.select(F.col(id_column).alias("id"), F.coalesce(trains, F.lit(True)).alias("trains"), F.col(text).cast("binary").alias("text"))
+    size, ends = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.sum(F.col("trains").cast("long"))).first())
+    buckets = min(4096, max(32, size // (2 * CHUNK)))
+    dealt = cut(chunks(rows, depth, buckets))
+    held = dealt.filter(F.col("kind") != TEXTS)
+    number = dealt.filter(F.col("kind") == TEXTS).count()
+
+    model, many = held, number
+    while many > 0:
+        many = -(-many // FAN_IN) if many > FAN_IN else 1
+        model = cut(merged(model.withColumn("chunk", F.pmod(F.xxhash64("chunk"), F.lit(many)) if many > 1 else F.lit(0).cast("long"))))
+        if many == 1:
+            break
+
+    def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0):
+                n = unpacked(b.as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])], names=["tokens", "words"])
+
+    said = model.filter(F.col("kind") == WORDS).select("b").mapInArrow(census, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
     tokens, distinct = (said[0] or 0) + ends, (said[1] or 0) + (ends > 0)
-    costs = model(totals.filter(F.col("kind") == GRAMS), depth)
-
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(blocks)))
-
-    def dictionary(table: pa.Table) -> pa.Table:
-        text = (x.as_py() for x in table.column("text").cast(pa.binary()))
-        found = _emit(table.column("block")[0].as_py(), *tally(zip(table.column("trains").to_pylist(), text, strict=True), depth))
-        return pa.Table.from_batches(list(found))
-
-    asked = dealt.groupBy("block").applyInArrow(dictionary, ROW)
-    asked = asked.select("block", "kind", "key", F.sum("n").over(Window.partitionBy("kind", "key")).alias("c"))
-    told = asked.join(costs, ["kind", "key"], "left").select("block", "kind", "key", F.coalesce("cost", F.col("c").cast("double")).alias("value"))
+    told = answers(model, held, top_of(model, depth), depth, -(-max(1, number) // 4096))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list] = {GRAMS: [], WORDS: []}
+        for batch in batches:
+            for kind, a, b in zip(batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                if kind != TEXTS:
+                    got[kind].append((unpack_keys(a.as_buffer()), unpacked(b.as_buffer())))
+                    continue
+                sides = [tuple(np.concatenate(x) for x in zip(*got[k], strict=True)) if got[k] else (np.empty(0, np.uint64), np.empty(0, np.int64)) for k in (GRAMS, WORDS)]
+                got = {GRAMS: [], WORDS: []}
+                scorer = Scorer(*sides, ends, depth)
+                del sides
+                for part in pa.ipc.open_stream(a.as_buffer()):
+                    out = scorer(part.column(2))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], *map(pa.array, out.values())], names=["id", "trains", *out])
+
+    place = ["chunk", "kind", "bucket"]
+    texts = dealt.filter(F.col("kind") == TEXTS)
+    whole = told.union(texts).repartition(max(1, min(number, 20_000)), "chunk").sortWithinPartitions(*place)
     kind = df.schema[id_column].dataType.simpleString()
-
-    def scored(texts: pa.Table, values: pa.Table) -> pa.Table:
-        kinds, keys, value = (values.column(c).to_numpy() for c in ("kind", "key", "value"))
-        keys = keys.view(np.uint64)
-        sides = []
-        for k in (GRAMS, WORDS):
-            part = np.flatnonzero(kinds == k)
-            part = part[np.argsort(keys[part])]
-            sides += [keys[part], value[part]]
-        got = score_texts([x.as_py() for x in texts.column("text").cast(pa.binary())], *sides, ends, depth)
-        return pa.table({"id": texts.column("id"), "trains": texts.column("trains"), **{c: pa.array(v) for c, v in got.items()}})
-
-    out = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, f"id {kind}, trains boolean, n_tokens long, n_known long, base double, score double")
-    return out.select(
-        F.col("id").alias(id_column),
-        (~F.col("trains")).alias("held_out"),
-        "n_tokens",
-        "n_known",
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (distinct + 1))))).alias("base_score"),
-        "score",
-    )
+    out = whole.mapInArrow(scored, f"id {kind}, trains boolean, n_tokens long, n_known long, base double, score double")
+    names = fresh(df.select(id_column), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    columns = (~F.col("trains"), F.col("n_tokens"), F.col("n_known"), F.lit(tokens).cast("long"), F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (distinct + 1)))), F.col("score"))
+    return out.select(F.col("id").alias(id_column), *(c.alias(n) for c, n in zip(columns, names, strict=True)))

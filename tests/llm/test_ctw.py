@@ -93,3 +93,40 @@ def test_query(spark, sf_dir):
     # Held-out texts take less than 3.3 bits a byte.
     size = sum(len(" ".join(ws[:-1]).encode()) + 1 for d, ws in tokens.items() if held[d])
     assert -got[got.held_out].score.sum() / math.log10(2) < 3.3 * size
+
+
+def test_pieces(monkeypatch):
+    monkeypatch.setattr(ctw, "PIECE", 7)
+    for text in (None, b"", b" ", b"one", b"  \n a bb   ccc dddd eeeee ffffffffffffff g \t  ", b"x" * 50, b"a b " * 20):
+        parts = list(ctw.pieces(text))
+        assert ([w for ws, _ in parts for w in ws], b"".join(c for _, c in parts)) == ctw.stream(text)
+
+
+def test_buffers_and_packing(monkeypatch):
+    monkeypatch.setattr(ctw, "PIECE", 9)
+    whole, cut, text = ctw.Coded(3), ctw.Coded(3), b"The quick brown fox jumps over it"
+    whole.add(ctw.stream(text)[1])
+    before = None
+    for _, coded in ctw.pieces(text):
+        before = cut.add(coded, before)
+    assert len(cut.sizes) > 2 and (whole.keys()[0] == cut.keys()[0]).all()
+    key = np.unique(np.random.default_rng(0).integers(0, 2**64, 1000, np.uint64))
+    assert (ctw.unpack_keys(ctw.pack_keys(key)) == key).all() and (ctw.unpacked(ctw.packed(-key.view(np.int64))) == -key.view(np.int64)).all()
+
+
+def test_chunks_do_not_matter(spark, monkeypatch):
+    """Many chunks, partitions, merges and blocks give what one chunk gives."""
+    rows = [(i, " ".join(f"w{(i * k) % 17} t{k % 5}" for k in range(i % 9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "score long, text string").repartition(5)
+    one = ctw.score(df.coalesce(1), F.col("score") % 5 != 1, "score", depth=4)
+    assert one.columns[-1] == "score_"
+    want = {r.score: (r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score_, 9)) for r in one.collect()}
+    for name, value in {"CHUNK": 100, "FAN_IN": 3, "BLOCK": 10}.items():
+        monkeypatch.setattr(ctw, name, value)
+    got = ctw.score(df, F.col("score") % 5 != 1, "score", depth=4).collect()
+    assert {r.score: (r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score_, 9)) for r in got} == want and len(want) == 60
+
+
+def test_held_out_texts_beat_the_base(spark):
+    got = QUERIES["op7_ctw_score"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
