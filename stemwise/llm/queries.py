@@ -11,6 +11,7 @@ from .common import cut, table, word_count
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the digests, the text that is left; a character cut in part shows as U+FFFD."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffixes.dedup(docs).select(
         "doc_id",
@@ -18,6 +19,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 

@@ -26,8 +26,9 @@ Names have 128 bits wherever they decide. Each task holds one block of text; wha
 travels is a few longs for each phrase of about length/4 bytes.
 
 Cases: null text is empty; texts shorter than ``length`` are never touched; wholly equal
-rows repeat one another; null and repeated ids are told apart by the text's hash; an
-empty table gives no rows.
+rows repeat one another, and share one set of spans, however many they are; null and
+repeated ids are told apart by the text's hash; an empty table gives no rows. A text's
+spans, one for each phrase of about length/4 bytes at most, are held beside the text.
 """
 
 from __future__ import annotations
@@ -317,7 +318,7 @@ def repeated(keyed: DataFrame, length: int) -> DataFrame:
     known = known.union(easy)
     todo = hard.groupBy("k1", "k2", "home").agg(F.collect_set("span2").alias("spans"))
     easy, _ = resolve(finer(around.join(todo, ["k1", "k2", "home"]), length, 1))
-    return known.union(easy).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+    return known.union(easy).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
 def removed_spans(spans: np.ndarray, length: int) -> np.ndarray:
