@@ -15,7 +15,7 @@ own dictionary. Nothing is dealt by a text's or row's value, so no text, word or
 hot key; a context tree is split by its two nearest bytes, and only what lies above, at
 most 65,280 nodes whatever the corpus, is summed up on the driver.
 
-Words are counted by XXH64, a 64-bit name. Costs travel as multiples of 2**-36.
+Words are counted by XXH64, a 64-bit name. Costs travel as multiples of 2**-28.
 
 Cases: null text is empty and costs the end token alone; texts of any length are worked
 on in pieces cut at white space; a null id trains; repeated rows count and are scored as
@@ -42,14 +42,14 @@ from .common import cut, fresh
 DEPTH = 6
 GRAMS, WORDS, TEXTS = 0, 1, 2
 #: Bytes of texts that share a dictionary, and that are worked on at once.
-CHUNK, PIECE = 20_000_000, 4_000_000
+CHUNK, PIECE = 32_000_000, 3_000_000
 #: Dictionaries of a bucket that one task adds up.
 FAN_IN = 256
 #: Strings that are weighted at once, if they are not all of one pair of nearest bytes.
 BLOCK = 200_000
 END = b"\n"
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
-SCALE = 2.0**36
+SCALE = 2.0**28
 LN10 = float(np.log(10.0))
 
 
@@ -112,7 +112,7 @@ class Tally:
     """Distinct keys and their counts, added up now and then."""
 
     def __init__(self):
-        self.parts, self.held, self.limit = [], 0, 2_000_000
+        self.parts, self.held, self.limit = [], 0, 1_500_000
 
     def add(self, key: np.ndarray, n: np.ndarray) -> None:
         if not len(key):
@@ -122,7 +122,7 @@ class Tally:
         if self.held > self.limit:
             self.parts = [self.total()]
             self.held = len(self.parts[0][0])
-            self.limit = 2_000_000 + 2 * self.held
+            self.limit = 1_500_000 + self.held
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
@@ -202,7 +202,7 @@ class Chunk:
                 if i < j:
                     yield number, kind, b, pack_keys(key[order[i:j]]), packed(n[order[i:j]])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, self.slices[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, self.slices[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
             for part in self.slices:
                 out.write_batch(part)
         yield number, TEXTS, 0, sink.getvalue().to_pybytes(), None
@@ -404,7 +404,7 @@ def answers(model: DataFrame, asked: DataFrame, top: Top, depth: int, copies: in
 
     copy = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")
     told = model.select(F.lit(-1).cast("long").alias("chunk"), "kind", "bucket", "a", "b", copy)
-    both = told.union(asked.select("chunk", "kind", "bucket", "a", "b", F.pmod("chunk", F.lit(copies)).cast("int").alias("copy")))
+    both = told.union(asked.select("chunk", "kind", "bucket", "a", F.lit(None).cast("binary").alias("b"), F.pmod("chunk", F.lit(copies)).cast("int").alias("copy")))
     place = ["kind", "bucket", "copy"]
     return both.repartition(*place).sortWithinPartitions(*place, "chunk").mapInArrow(run, ROW)
 
@@ -495,10 +495,11 @@ def score(df: DataFrame, trains: Column, id_column: str = "doc_id", text: str =
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     rows = df.select(F.col(id_column).alias("id"), F.coalesce(trains, F.lit(True)).alias("trains"), F.col(text).cast("binary").alias("text"))
     size, ends = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.sum(F.col("trains").cast("long"))).first())
-    buckets = min(4096, max(32, size // (2 * CHUNK)))
+    buckets = min(4096, max(64, size // CHUNK))
     dealt = cut(chunks(rows, depth, buckets))
     held = dealt.filter(F.col("kind") != TEXTS)
-    number = dealt.filter(F.col("kind") == TEXTS).count()
+    texts = dealt.filter(F.col("kind") == TEXTS)
+    number, parts = (x or 0 for x in texts.agg(F.count("*"), F.max(F.shiftright("chunk", 32)) + 1).first())
 
     model, many = held, number
     while many > 0:
@@ -532,9 +533,10 @@ def score(df: DataFrame, trains: Column, id_column: str = "doc_id", text: str =
                     out = scorer(part.column(2))
                     yield pa.RecordBatch.from_arrays([*part.columns[:2], *map(pa.array, out.values())], names=["id", "trains", *out])
 
-    place = ["chunk", "kind", "bucket"]
-    texts = dealt.filter(F.col("kind") == TEXTS)
-    whole = told.union(texts).repartition(max(1, min(number, 20_000)), "chunk").sortWithinPartitions(*place)
+    # The first chunks of all input partitions, then the second ones: one chunk a task.
+    tasks = max(1, min(number, 20_000))
+    task = F.pmod(F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(F.lit(2**32 - 1)) * F.lit(parts), F.lit(tasks)).cast("int")
+    whole = told.union(texts).repartitionById(tasks, task).sortWithinPartitions("chunk", "kind", "bucket")
     kind = df.schema[id_column].dataType.simpleString()
     out = whole.mapInArrow(scored, f"id {kind}, trains boolean, n_tokens long, n_known long, base double, score double")
     names = fresh(df.select(id_column), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
