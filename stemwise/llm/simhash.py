@@ -7,12 +7,17 @@ turn, so two linked fingerprints share a signature; equal signatures are joined
 verified by counting bits.
 
 Only distinct fingerprints are indexed, so exact copies cost nothing. Tasks hand on a
-spanning forest of the links they find, never all pairs of a group, and signatures with
-more than ``hot`` members are indexed anew by a plan with longer signatures.
+spanning forest of the links they find, never all pairs of a group. Signatures are counted
+first, partly before any shuffle; the members of those with more than ``hot`` are not
+joined on them but indexed anew by a plan with longer signatures, and where the last
+plan's are still too common, a signature's members are dealt into blocks of about ``hot``
+and compared block against block, each pair of blocks in a group of its own.
 
 Cases: null text is empty; texts without words have fingerprint 0 and link like any
-other; ids may repeat or be null (a null id loses against any other as component id, and
-a component without other ids has none); an empty table gives no rows.
+other; a text is hashed in blocks of shingles, so only its words are held beside it,
+however long; ids may repeat or be null (a null id loses against any other as component
+id, and a component without other ids has none); result columns get a trailing underscore
+where the table has their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +30,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 BITS = 64
+#: Plans tried one after the other; signatures a task compares; hot keys that are broadcast (16 bytes each).
+LEVELS, SIGNED, MOST_KEYS = 4, 2_000_000, 1_000_000
 #: Shingles hashed at once.
 BLOCK = 1 << 16
 
@@ -135,9 +142,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def links(signed: DataFrame, distance: int, hot: int | None) -> DataFrame:
-    """(a, b): per task, a forest of the links among fingerprints with equal
-    signatures; (fp, null) for the members of signatures with over ``hot`` members."""
+def hot_keys(signed: DataFrame, hot: int) -> DataFrame:
+    """(key, n): signatures with over ``hot`` members. There are few: each needs so many."""
+    return cut(signed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot))
+
+
+def in_blocks(signed: DataFrame, keys: DataFrame, hot: int) -> DataFrame:
+    """``signed`` with each member of the hot ``keys`` dealt into one of enough blocks, and
+    there once for every block: equal keys are now those of a pair of blocks."""
+    n = F.ceil(F.col("n") / F.lit(hot)).cast("int")
+    common = signed.join(keys, "key").withColumn("blocks", n).withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(11)), F.col("blocks")).cast("int"))
+    paired = common.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return paired.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp")
+
+
+def links(signed: DataFrame, distance: int, tasks: int = 1) -> DataFrame:
+    """(a, b): per task, a forest of the links among fingerprints with equal signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -150,9 +170,7 @@ def links(signed: DataFrame, distance: int, hot: int | None) -> DataFrame:
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
         end = np.repeat(first + size, size)
-        large = np.repeat(size, size) > (hot or len(key))
-        over = np.unique(fp[large])
-        alive = np.flatnonzero(~large)
+        alive = np.arange(len(key))
         a, b, held = [], [], 0
         step = 1
         while len(alive := alive[alive + step < end[alive]]):
@@ -165,11 +183,32 @@ def links(signed: DataFrame, distance: int, hot: int | None) -> DataFrame:
                 a, b, held = [x], [y], 0
             step += 1
         x, y = forest(np.concatenate(a), np.concatenate(b)) if held else (fp[:0], fp[:0])
-        nulls = pa.nulls(len(over), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(over.view(np.int64)), nulls], names=["a", "b"])
 
-    return signed.repartition("key").mapInArrow(run, "a long, b long")
+    dealt = signed.repartition(tasks, "key") if tasks > 1 else signed.repartition("key")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def all_links(prints: DataFrame, distance: int, hot: int, levels: int = LEVELS) -> DataFrame:
+    """A forest of the links among distinct fingerprints (fp)."""
+    todo, found = prints.select("fp"), None
+    for level in range(levels):
+        masks = sum(len(v) for _, v in signature_masks(*plan(distance, level)))
+        tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), todo.count() * masks // SIGNED)
+        signed = signatures(todo, distance, level)
+        keys = hot_keys(signed, hot)
+        few = keys.count()
+        rest = signed.join(F.broadcast(keys) if few < MOST_KEYS else keys, "key", "left_anti") if few else signed
+        out = cut(links(rest, distance, tasks))
+        found = out if found is None else found.union(out)
+        if not few:
+            break
+        common = signed.join(F.broadcast(keys) if few < MOST_KEYS else keys, "key", "left_semi")
+        if level == levels - 1:
+            found = found.union(cut(links(in_blocks(common, keys, hot), distance, tasks)))
+        else:
+            todo = cut(common.select("fp").distinct())
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,28 +233,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = 4, words: int = 4, hot: int = 4096) -> DataFrame:
-    """(id, fingerprint, component_id, plus ``df``'s other columns): component_id is the
+    """(id, fingerprint, component_id, ``df``'s other columns, __class): component_id is the
     least id among the documents reachable over links of at most ``distance`` bits."""
     others = [c for c in df.columns if c not in (id_column, text)]
+    named = fresh(df.select(id_column, *others), "fingerprint", "component_id")
     slim = df.select(F.col(id_column).alias("__id"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(others)), F.col(text).alias("__t"))
     rows = cut(with_fingerprint(slim, "__t", "fp", words))
     prints = cut(rows.groupBy("fp").agg(F.min("__id").alias("least")))
-    found, level, todo = None, 0, prints
-    while True:
-        last = level == 3
-        out = cut(links(signatures(todo, distance, level), distance, None if last else hot))
-        edges = out.filter("b is not null")
-        found = edges if found is None else found.union(edges)
-        todo = cut(out.filter("b is null").select(F.col("a").alias("fp")).distinct())
-        if last or todo.isEmpty():
-            break
-        level += 1
-    roots = components(found)
+    roots = components(all_links(prints, distance, hot))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     classes = rooted.join(lowest, rooted["root"] == lowest["r"]).select(F.col("fp").alias("f"), "component_id", F.col("r").alias("__root"))
     joined = rows.join(classes, rows["fp"] == classes["f"], "left")
-    return joined.select(F.col("__id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(F.col(f"__o{i}").alias(c) for i, c in enumerate(others)), F.col("__root").alias("__class"))
+    return joined.select(F.col("__id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias(named[0]), F.col("component_id").alias(named[1]), *(F.col(f"__o{i}").alias(c) for i, c in enumerate(others)), F.col("__root").alias("__class"))
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -205,19 +205,28 @@ def test_simhash_hot_signatures(spark):
     prints |= {draw.getrandbits(64) for _ in range(100)}
     signed = [(x - 2**64 if x >> 63 else x,) for x in sorted(prints)]
     df = spark.createDataFrame(signed, "fp long")
-    found = None
-    for level in range(4):
-        out = simhash.links(simhash.signatures(df, 4, level), 4, 8 if level < 3 else None).collect()
-        found = (found or []) + [(a % 2**64, b % 2**64) for a, b in out if b is not None]
-        over = {a for a, b in out if b is None}
-        if not over:
-            break
-        df = spark.createDataFrame([(x,) for x in over], "fp long")
-    pairs = spark.createDataFrame([tuple(x - 2**64 if x >> 63 else x for x in e) for e in found], "a long, b long")
-    roots = {r.node % 2**64: r.root % 2**64 for r in simhash.components(pairs).collect()}
     want = brute_components(prints, 4)
     groups = lambda f: sorted(sorted(x for x in prints if f(x) == r) for r in {f(x) for x in prints})
-    assert groups(lambda x: roots.get(x, x)) == groups(want.get)
+    for levels in (1, 2):
+        found = simhash.all_links(df, 4, 16, levels)
+        roots = {r.node % 2**64: r.root % 2**64 for r in simhash.components(found).collect()}
+        assert groups(lambda x: roots.get(x, x)) == groups(want.get)
+
+
+def test_hot_signatures_are_dealt_into_blocks(spark):
+    """No pair of a hot key's members is lost, and no group stays large."""
+    signed = spark.range(1000).selectExpr("id % 2 as key", "id as fp")
+    keys = simhash.hot_keys(signed, 50)
+    out = simhash.in_blocks(signed, keys, 50).toPandas()
+    assert out.groupby("key").size().max() < 200
+    met = {p for _, g in out.groupby("key") for p in combinations(sorted(g.fp), 2)}
+    assert met == {p for k in (0, 1) for p in combinations(range(k, 1000, 2), 2)}
+
+
+def test_simhash_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d", 7, 8)], "doc_id long, text string, Fingerprint int, component_id int")
+    out = simhash.near_duplicates(df)
+    assert out.columns[:3] == ["doc_id", "fingerprint_", "component_id_"] and out.first()["Fingerprint"] == 7
 
 
 def brute_counts(text):
