@@ -7,9 +7,13 @@ example without a target, so a conversation can be read back whole.
 The template marks turns by control strings; a backslash escapes them inside texts and
 role names (and itself), so no text holds one.
 
+A conversation is built in one task, and its examples hold the square of its length: that
+is the method. So a conversation has to fit into a task's memory; rows that name none,
+however many, are never put together.
+
 Cases: rows go by (turn, role, text), null first; null text is empty; a null role is a
-role of empty name; a null conv_id is a conversation of its own; repeated rows are turns
-of their own; an empty table gives no rows; other columns are left out.
+role of empty name; each row with a null conv_id is a conversation of its own; repeated
+rows are turns of their own; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: What opens and closes a turn of each role.
 MARKS = {
@@ -35,7 +40,6 @@ TO_ESCAPE = re.compile("|".join(map(re.escape, ESCAPED)))
 TO_PLAIN = re.compile(r"\\[\\0-8]")
 TURN = re.compile("|".join(f"({re.escape(a)}(.*?){re.escape(b)})" for a, b in [*MARKS.values(), (OTHER[0], OTHER[2])]), re.S)
 
-EXAMPLE = "conv_id long, example int, last boolean, text string, loss_start int, loss_end int"
 BATCH_CHARS = 4_000_000
 
 
@@ -91,10 +95,12 @@ def examples_of(turns: list[tuple[str, str]]) -> Iterator[tuple[bool, str, int,
 
 def prefix_targets(conversations: DataFrame) -> DataFrame:
     """Examples (conv_id, example, last, text, loss_start, loss_end) of conversations
-    (conv_id, turn, role, text). Those of a conversation follow one another."""
+    (conv_id, turn, role, text)."""
+    kind = conversations.schema["conv_id"].dataType
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("last", pa.bool_()), ("text", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32())])
+    whole = conversations.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = conversations.filter("conv_id is null").select("conv_id", F.array(turn).alias("turns"))
+    schema = pa.schema([("conv_id", to_arrow_type(kind)), ("example", pa.int32()), ("last", pa.bool_()), ("text", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32())])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -112,29 +118,31 @@ def prefix_targets(conversations: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return whole.mapInArrow(expand, EXAMPLE)
+    return whole.union(alone).mapInArrow(expand, f"conv_id {kind.simpleString()}, example int, last boolean, text string, loss_start int, loss_end int")
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """Digest of each conversation, from its examples alone. Takes examples as
-    ``prefix_targets`` leaves them: those of a conversation in a row."""
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())])
+    """Digest of each conversation, from its examples alone, whatever their order: each
+    example is read by itself, and only replies travel to be put in order."""
+    kind = examples.schema["conv_id"].dataType
+    schema = pa.schema([("conv_id", to_arrow_type(kind)), ("example", pa.int32()), ("reply", pa.string()), ("chars", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string())])
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, chars, formatted, n = hashlib.sha256(), 0, 0, 0
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, _, last, text, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                reply = unescape(text[start:end])
-                loss.update(reply.encode())
-                chars, formatted, n = chars + len(reply), formatted + len(text), n + 1
+            for key, k, last, text, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = hashed = None
                 if last:
-                    turns, hashed = parse(text), hashlib.sha256()
+                    turns, sha = parse(text), hashlib.sha256()
                     for role, said in turns:
-                        hashed.update(f"{role}\n{said}\n".encode())
-                    out.append((key, len(turns), hashed.hexdigest(), chars, loss.hexdigest(), formatted, n))
-                    loss, chars, formatted, n = hashlib.sha256(), 0, 0, 0
+                        sha.update(f"{role}\n{said}\n".encode())
+                    n, hashed = len(turns), sha.hexdigest()
+                out.append((key, k, unescape(text[start:end]), len(text), n, hashed))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return examples.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+    found = examples.select("conv_id", "example", "last", "text", "loss_start", "loss_end").mapInArrow(read, f"conv_id {kind.simpleString()}, example int, reply string, chars long, n_turns long, turns_sha256 string")
+    replies = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "reply"))), lambda x: x["reply"]), "")
+    whole = found.filter("conv_id is not null").groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), replies.alias("loss"), F.sum("chars").alias("formatted_chars"), F.count("*").alias("n_examples"))
+    alone = found.filter("conv_id is null").select("conv_id", "n_turns", "turns_sha256", F.col("reply").alias("loss"), F.col("chars").alias("formatted_chars"), F.lit(1).cast("long").alias("n_examples"))
+    return whole.union(alone).select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars", "n_examples")
