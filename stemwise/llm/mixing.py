@@ -9,6 +9,8 @@ Cases: a null source is a source of its own and sorts last; null sizes count as
 documents of size 0 queue once and are taken when their turn comes; a source of total
 size 0 has target 0 and finishes at time 0; ties are broken by source, pass, hash, id
 and row hash, and wholly equal rows are interchangeable; an empty table gives no rows.
+Rows are shuffled by id, size and source together: a common or missing id is no hot key.
+One window runs over all sources, so these should be some millions at most.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from .common import cut, fan, fresh, running_total
 WEIGHTS = (5, 2, 1)
 
 
-def shuffle_key(id_column: Column, seed: int) -> Column:
-    """52 bits of md5, which SQL engines share."""
-    digest = F.md5(F.concat(F.coalesce(id_column.cast("string"), F.lit("")), F.lit(f"/{seed}")))
+def shuffle_key(seed: int, *columns: Column) -> Column:
+    """52 bits of md5, which SQL engines share. Size and source stand beside the id, so
+    that rows without an id, or with one id, are not one key."""
+    text = (F.coalesce(c.cast("string"), F.lit("")) for c in columns)
+    digest = F.md5(F.concat_ws("/", *text, F.lit(str(seed))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
@@ -76,7 +80,7 @@ def mix_sources(
     full = df.toDF(*names).withColumns(
         {
             "__size": F.coalesce(F.col(at[size]).cast("long"), F.lit(0).cast("long")),
-            "__h": shuffle_key(F.col(at[id_column]), seed),
+            "__h": shuffle_key(seed, F.col(at[id_column]), F.col(at[size]), F.col(at[source])),
             "__tie": F.xxhash64(*names),
         }
     )

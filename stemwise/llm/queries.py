@@ -92,7 +92,7 @@ ORACLES: dict[str, str] = {
     "op2_mix_sources": r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '/42'), 1, 13))::bigint as h
+    ('0x' || substr(md5(concat_ws('/', coalesce(doc_id::varchar, ''), coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0), coalesce(source, ''), '42')), 1, 13))::bigint as h
   from documents),
 s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as r from d group by source),
 w as (select *, [5.0::double, 2.0::double, 1.0::double][((r - 1) % 3 + 1)::int] as w, source_size * 2.0::double as cap from s),

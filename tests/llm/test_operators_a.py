@@ -88,7 +88,7 @@ def test_mix_follows_virtual_time(spark):
     by = {s: sum(r[2] for r in rows if r[1] == s) for s in "ab"}
     target = {"a": min(2.0 * by["a"], total * 0.75)}
     target["b"] = total - target["a"]
-    key = lambda d: int(hashlib.md5(f"{d}/42".encode()).hexdigest()[:13], 16)
+    key = lambda d: int(hashlib.md5("/".join([str(d), str(rows[d][2]), rows[d][1], "42"]).encode()).hexdigest()[:13], 16)
     entries = []
     for s in "ab":
         end = 0
@@ -105,6 +105,18 @@ def test_mix_follows_virtual_time(spark):
     assert {r.doc_id: r.taken for r in got.itertuples()} == {d: taken[d] for d, _, _ in rows}
 
 
+def test_mix_many_rows_without_an_id(spark):
+    """Rows without an id fall into many buckets, and targets still hold."""
+    rows = [(None, "a" if i % 3 else "b", i % 97 + 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mix_sources(df, "size").toPandas()
+    assert len(got) == 3000 and (got.taken <= 2 * got["size"]).all()
+    for _, part in got.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 2 * 97 * 97
+    keys = df.select(mixing.shuffle_key(42, *(F.col(c) for c in ("doc_id", "size", "source"))).alias("h")).distinct().count()
+    assert keys == len({(s, n) for _, s, n in rows})
+
+
 def test_chat(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").toPandas()
     said = "</s>[INST] ok [/INST]"
@@ -134,6 +146,13 @@ def test_chat_examples_and_odd_cases(spark):
         assert c not in chat.escape(c * 3) and chat.unescape(chat.escape(c * 3 + "\\7")) == c * 3 + "\\7"
     back = chat.read_back(chat.prefix_targets(df)).toPandas()
     assert sorted(back.n_turns) == [1, 1, 5]
+    mixed = chat.read_back(chat.prefix_targets(df).orderBy(F.rand(3)).repartition(7)).toPandas()
+    assert sorted(map(str, mixed.values.tolist())) == sorted(map(str, back.values.tolist()))
+    many = spark.createDataFrame([(None, i, "assistant", f"t{i % 2}") for i in range(50)], "conv_id string, turn long, role string, text string")
+    assert chat.read_back(chat.prefix_targets(many)).filter("n_turns = 1 and loss_chars = 2").count() == 50
+    long = spark.createDataFrame([("c", i, "user" if i % 2 else "assistant", f"text {i}") for i in range(400)], "conv_id string, turn long, role string, text string")
+    r = chat.read_back(chat.prefix_targets(long)).first()
+    assert (r.n_turns, r.n_examples, r.loss_chars) == (400, 201, sum(len(f"text {i}") for i in range(0, 400, 2)))
     assert chat.read_back(chat.prefix_targets(df.limit(0))).count() == 0
 
 
