@@ -1,16 +1,20 @@
 """Quality classifier by co-training of two views.
 
-One logistic model sees the text's content, the other the page's metadata (language,
-source, sizes, layout). Each round, every document without a label that one view is
-sure of becomes a training row, at half weight, of the other. Held-out labelled rows
-calibrate both views, and a last logistic model combines their calibrated log-odds.
+One logistic model sees the text's content (words, characters, lines), the other only the
+page's metadata (language, source, length as recorded, and host and address where there is
+a column ``url``). Each round, every document without a label that one view is sure of
+becomes a training row, at half weight, of the other. Labelled rows of one fold, which
+neither view trains on, calibrate both views, and a last logistic model combines their
+calibrated log-odds; those of another fold (held_out) are used for nothing but measuring.
 
 Models are fitted by Newton steps whose sums run over all rows; what reaches the driver
 is one matrix of (features x features) sums a step, whatever the number of rows.
 
-Cases: null text, language and source are empty; null n_chars counts as 0; labels of a
-repeated id are averaged and rounded (half up); null labels are none; without labels all
-scores are 0.5; an empty table gives no rows; scores of at least 0.5 are kept.
+Cases: null text, language, source and url are empty; texts of any length are counted
+whole, beside a list of their words; null n_chars counts as 0; labels of a repeated id are
+averaged and rounded (half up); null labels are none; without labels all scores are 0.5;
+an empty table gives no rows; scores of at least 0.5 are kept; other columns are left out,
+and results get a trailing underscore where the id column has their name.
 """
 
 from __future__ import annotations
@@ -23,14 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 ROUNDS = 2
 STEPS = 6
 RIDGE = 1.0
 SURE = 0.95
 PSEUDO_WEIGHT = 0.5
-LANGUAGES, SOURCES = 8, 32
+LANGUAGES, SOURCES, HOSTS, LENGTHS = 8, 32, 32, 24
 MARKS = b"#$%&*|<>!?.,;:-_\"'()"
 
 BYTE_GROUP = np.full(256, 4, np.int64)  # other
@@ -42,7 +46,7 @@ BYTE_GROUP[[9, 10, 11, 12, 13, 32]] = 5
 for _i, _c in enumerate(MARKS):
     BYTE_GROUP[_c] = 6 + _i
 GROUPS = 6 + len(MARKS)
-CONTENT, METADATA = 1 + GROUPS + 6, 1 + LANGUAGES + SOURCES + 6
+CONTENT, METADATA = 1 + GROUPS + 10, 1 + LANGUAGES + SOURCES + HOSTS + LENGTHS + 3
 
 
 def content(text: bytes) -> list[float]:
@@ -52,6 +56,7 @@ def content(text: bytes) -> list[float]:
     counts = Counter(words)
     triples = max(1, len(words) - 2)
     distinct = len(set(zip(words, words[1:], words[2:], strict=False)))
+    lines = [x for x in text.split(b"\n") if x.strip()]
     return [
         1.0,
         *np.sqrt(share).tolist(),
@@ -61,42 +66,41 @@ def content(text: bytes) -> list[float]:
         sum(map(len, words)) / n,
         np.log1p(len(words)),
         float(len(words) < 50),
+        np.log1p(len(lines)),
+        np.log1p(len(text) / max(1, len(lines))),
+        len(zlib.compress(text, 1)) / (len(text) + 16),
+        len(set(lines)) / max(1, len(lines)),
     ]
 
 
-def metadata(text: bytes, lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
+def metadata(lang: str | None, source: str | None, n_chars: int | None, url: str | None) -> list[float]:
+    """Hashed language, source and host; length by thirds of powers of two; the address."""
     out = [0.0] * METADATA
     out[0] = 1.0
-    out[1 + zlib.crc32((lang or "").encode()) % LANGUAGES] = 1.0
-    out[1 + LANGUAGES + zlib.crc32((source or "").encode()) % SOURCES] = 1.0
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    packed = len(zlib.compress(text, 1))
-    out[-6:] = [
-        np.log1p(n_chars or 0),
-        np.log1p(len(lines)),
-        np.log1p(len(text) / max(1, len(lines))),
-        packed / (len(text) + 16),
-        len(set(lines)) / max(1, len(lines)),
-        len(text) / max(1, n_chars or 0) if text else 0.0,
-    ]
+    host = (url or "").split("//")[-1].split("/")[0]
+    size = max(0, n_chars or 0)
+    length = min(LENGTHS - 1, max(0, int(2 * np.log2(size + 1)) - 8))
+    at = 1
+    for wide, k in ((LANGUAGES, zlib.crc32((lang or "").encode())), (SOURCES, zlib.crc32((source or "").encode())), (HOSTS, zlib.crc32(host.encode())), (LENGTHS, length)):
+        out[at + k % wide] = 1.0
+        at += wide
+    out[at:] = [np.log1p(size), np.log1p(len(url or "")), float((url or "").count("/"))]
     return out
 
 
 def views(df: DataFrame, id_column: str) -> DataFrame:
-    """(id, content, metadata) of the rows (id, text, lang, source, n_chars)."""
+    """(id, content, metadata) of the rows (id, text, lang, source, n_chars, maybe url)."""
     kind = df.schema[id_column].dataType.simpleString()
+    url = F.col("url").cast("string") if "url" in df.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, m = [], []
-            for text, lang, source, n in zip(b.column(1).cast(pa.binary()), *(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                text = text.as_py() or b""
-                c.append(content(text))
-                m.append(metadata(text, lang, source, n))
+            c = [content(text.as_py() or b"") for text in b.column(1).cast(pa.binary())]
+            m = [metadata(*x) for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
             kind_ = pa.list_(pa.float32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, kind_), pa.array(m, kind_)], names=["id", "content", "metadata"])
 
-    return df.select(F.col(id_column).alias("id"), "text", "lang", "source", F.col("n_chars").cast("long")).mapInArrow(run, f"id {kind}, content array<float>, metadata array<float>")
+    return df.select(F.col(id_column).alias("id"), "text", "lang", "source", F.col("n_chars").cast("long"), url).mapInArrow(run, f"id {kind}, content array<float>, metadata array<float>")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -108,14 +112,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """Standardised views, labels (nan: none) and folds of some rows."""
+    """Standardised views, labels (nan: none) and folds (0: train, 1: measure, 2: calibrate)."""
 
     def __init__(self, b: pa.RecordBatch, scale: list[tuple[np.ndarray, np.ndarray]]):
         self.x = []
         for i, width, (mean, deviation) in zip((1, 2), (CONTENT, METADATA), scale, strict=True):
             self.x.append((_matrix(b.column(i), width) - mean) / deviation)
         self.y = b.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
-        self.hold = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
+        self.fold = b.column(4).to_numpy(zero_copy_only=False)
 
 
 def sums(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
@@ -165,8 +169,9 @@ def classify(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", rounds
     truth = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.avg("quality").alias("y")).filter("y is not null")
     truth = truth.select("label_id", (F.col("y") >= 0.5).cast("double").alias("y"))
     seen = views(df, id_column)
-    hold = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
-    rows = cut(seen.join(truth, F.col("id") == F.col("label_id"), "left").select("id", "content", "metadata", "y", hold.alias("hold")))
+    part = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 5
+    fold = F.when(part == 1, 1).when(part == 2, 2).otherwise(0)
+    rows = cut(seen.join(truth, F.col("id") == F.col("label_id"), "left").select("id", "content", "metadata", "y", fold.alias("fold")))
 
     widths = (CONTENT, METADATA)
     size = 1 + 2 * sum(widths)
@@ -197,7 +202,7 @@ def classify(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", rounds
             known = ~np.isnan(batch.y)
             out = []
             for view in (0, 1):
-                y, weight = np.where(known, batch.y, 0.0), (known & ~batch.hold).astype(np.float64)
+                y, weight = np.where(known, batch.y, 0.0), (known & (batch.fold == 0)).astype(np.float64)
                 if not first:
                     p = _sigmoid(batch.x[1 - view] @ before[1 - view])
                     sure = ~known & ((p >= SURE) | (p <= 1 - SURE))
@@ -211,7 +216,7 @@ def classify(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", rounds
         return [np.stack([np.ones(len(batch.y)), np.clip(x @ b, -20, 20)], axis=1) for x, b in zip(batch.x, beta, strict=True)]
 
     def held(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
-        use = ~np.isnan(batch.y) & batch.hold
+        use = ~np.isnan(batch.y) & (batch.fold == 2)
         return np.where(use, batch.y, 0.0), use.astype(np.float64)
 
     def calibration(b: pa.RecordBatch) -> list[tuple]:
@@ -234,9 +239,10 @@ def classify(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", rounds
             batch = Batch(b, scale)
             x = both(batch)
             final = _sigmoid(x @ mixed)
-            columns = [b.column(0), *(pa.array(v) for v in (_sigmoid(x[:, 1]), _sigmoid(x[:, 2]), final, final >= 0.5, ~np.isnan(batch.y), batch.hold))]
+            columns = [b.column(0), *(pa.array(v) for v in (_sigmoid(x[:, 1]), _sigmoid(x[:, 2]), final, final >= 0.5, ~np.isnan(batch.y), batch.fold == 1))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "content_score", "metadata_score", "score", "kept", "labelled", "held_out"])
 
     kind = df.schema[id_column].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, content_score double, metadata_score double, score double, kept boolean, labelled boolean, held_out boolean")
-    return out.withColumnRenamed("id", id_column)
+    results = out.columns[1:]
+    return out.select(F.col("id").alias(id_column), *(F.col(c).alias(n) for c, n in zip(results, fresh(df.select(id_column), *results), strict=True)))

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,32 @@ def test_whole_characters():
     assert suffixes.whole_characters(data, [[0, 2], [5, 7]]) == [[0, 1]]
     assert suffixes.whole_characters(data, [[2, 4]]) == [[3, 4]]
     assert suffixes.whole_characters(data, [[0, len(data)]]) == [[0, len(data)]]
+
+
+def test_newton_by_brute_force(spark):
+    """The distributed steps give what the whole table gives at once."""
+    rng = np.random.default_rng(4)
+    x = np.c_[np.ones(300), rng.normal(size=(300, 3))]
+    y = (x @ [0.3, 1.0, -2.0, 0.0] + rng.normal(size=300) > 0).astype(float)
+    weight = rng.choice([0.0, 0.5, 1.0], 300)
+    df = spark.createDataFrame([(r.tolist(), a, w) for r, a, w in zip(x, y.tolist(), weight.tolist())], "x array<double>, y double, w double").repartition(7)
+    samples = lambda b: [(b.column(0).flatten().to_numpy().reshape(-1, 4), b.column(1).to_numpy(), b.column(2).to_numpy())]
+    got = cotraining.newton(df, samples, [np.zeros(4)])[0]
+    want = np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ want))
+        want = want + np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + np.eye(4), x.T @ (weight * (y - p)) - want)
+    assert got == pytest.approx(want, abs=1e-3)
+
+
+def test_views_are_apart():
+    """Content knows no metadata, metadata no text."""
+    assert len(cotraining.content(b"some words\nmore")) == cotraining.CONTENT and len(cotraining.content(b"")) == cotraining.CONTENT
+    a, b = cotraining.metadata("en", "s", 100, "https://a.org/x/y?z"), cotraining.metadata(None, None, None, None)
+    assert len(a) == len(b) == cotraining.METADATA and sum(a[1:-3]) == sum(b[1:-3]) == 4
+
+
+def test_cotraining_takes_pages(spark):
+    df = spark.createDataFrame([(i, "some words " * i, "en", "a", i, f"https://h{i % 3}.org/p/{i}") for i in range(9)], "content_score long, text string, lang string, source string, n_chars long, url string")
+    out = cotraining.classify(df, spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int"), "content_score", rounds=1)
+    assert out.count() == 9 and out.columns[:2] == ["content_score", "content_score_"]
