@@ -33,11 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, pack_keys, packed, unpack_keys, unpacked
 
 DEPTH = 6
 GRAMS, WORDS, TEXTS = 0, 1, 2
@@ -138,25 +137,6 @@ def word_names(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def packed(a: np.ndarray) -> bytes:
-    """The bytes of an array of 64-bit numbers, compressed place by place."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(raw.T).view(kind).ravel()
-
-
-def pack_keys(key: np.ndarray) -> bytes:
-    """Sorted keys by their differences."""
-    return packed(np.diff(key, prepend=np.uint64(0)))
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data, np.uint64))
-
-
 def bucket_of(kind: int, key: np.ndarray, buckets: int, depth: int) -> np.ndarray:
     """Strings go by their two nearest bytes, words by their names."""
     part = (key >> np.uint64(8 * (depth - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32) if kind == GRAMS else key

@@ -1,19 +1,27 @@
-"""Near copies by the exact similarity of their shingle sets.
+"""Near copies by SimHash, completed to the exact similarity of shingle sets.
 
 Two texts are linked if their sets of shingles (XXH64 of so many words, see
-``simhash.shingle_hashes``) have a Jaccard similarity of 0.8 at least. Sets are put in one
-order of all shingles; two linked ones share a shingle among their first n - ceil(0.8 n) + 1
-each, so only these prefixes are joined. Every candidate is verified on the whole texts:
-nothing linked is missed, and nothing is linked that is not so similar.
+``simhash.shingle_hashes``) have a Jaccard similarity of 0.8 at least. At 0.8 some ten of
+64 fingerprint bits differ, so bits alone cannot find all links. Candidates come in rounds:
+
+1. ``simhash.all_links``: fingerprints with at most four differing bits.
+2. Prefixes: sets are put in one order of all shingles; two linked ones share a shingle
+   among their first n - ceil(0.8 n) + 1 each, so only these are joined. First neighbours
+   in each group of texts with a shared shingle,
+3. then, of texts that have not been linked yet, all pairs of a group; so a large group
+   of near copies costs no pairs.
+
+Every candidate passes two tests: parities of the shingles in 1,024 cells, which differ in
+no more cells than the sets differ in shingles and so drop no link, and then the whole
+texts. Nothing linked is missed, and nothing is linked that is not so similar.
 
 Shingles common in a sample of the texts come last in the order. That decides how many
-candidates there are, not the result. Candidates come in two rounds: neighbours
-in each group of texts with a shared shingle, then, of texts that these have not linked
-yet, all pairs of a group; so a large group of near copies costs no pairs.
+candidates there are, not the result. Prefixes travel as packed arrays; a task holds its
+share of them, about a tenth of the texts' size over all tasks.
 
 Cases: null text is empty; texts without words are copies of each other; texts of fewer
-words than a shingle's are one shingle; ids may repeat or be null; an empty table gives
-no rows.
+words than a shingle's are one shingle; texts of any length are taken whole; ids may
+repeat or be null; an empty table gives no rows; columns of any names stay as they are.
 """
 
 from __future__ import annotations
@@ -25,11 +33,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
-from .simhash import components, shingle_hashes
+from .common import cut, pack_keys, packed, unpack_keys, unpacked
+from .simhash import all_links, components, majority, shingle_hashes
 
 #: One text of so many is sampled; a shingle in so many of them is common; so many at most.
 SAMPLE, COMMON, MOST = 8, 8, 100_000
+#: Keys of a prefix; keys packed at once; cells of the parities; rows that are broadcast.
+KEY, HELD, CELLS, FEW = np.uint64(2**48 - 1), 1_000_000, 1024, 300_000
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -47,6 +57,12 @@ def name_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).astype(np.int64))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Bit c of 1,024 tells whether an odd number of the shingles fall into cell c."""
+    cells = np.bincount((shingles >> np.uint64(48)) % np.uint64(CELLS), minlength=CELLS)
+    return np.packbits(cells & 1, bitorder="little").view(np.int64)
+
+
 def in_order(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The shingles that are not ``common`` (sorted) first, then these by ``rank``."""
     if not len(common):
@@ -56,81 +72,93 @@ def in_order(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.n
     return np.concatenate([shingles[~known], shingles[known][np.argsort(rank[at[known]])]])
 
 
-def named(rows: DataFrame, words: int) -> DataFrame:
-    """(k, h, node) of each row, node naming its set; besides, with a null node, (shingle,
-    count) of those in more than one sampled text of a task."""
-    kind = rows.schema["__k"].dataType.simpleString()
+def sampled(rows: DataFrame, words: int) -> DataFrame:
+    """(shingle, n) of the shingles in more than one different sampled text of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sample, ids = ["k", "h", "node", "shingle", "n"], {}, pa.null()
+        sample = {}
         for batch in batches:
-            nodes, ids = [], batch.column(0).type
-            for t in batch.column(2).cast(pa.binary()):
+            for t in batch.column(0).cast(pa.binary()):
                 s = shingle_set(t.as_py(), words)
-                nodes.append(name_of(s))
-                if nodes[-1] % SAMPLE == 0:
-                    sample[nodes[-1]] = s
-            none = pa.nulls(len(nodes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), none, none], names=names)
+                sample[name_of(s)] = s
         if sample:
             found, n = np.unique(np.concatenate([*sample.values()]), return_counts=True)
-            found, n = found[n > 1], n[n > 1]
-            none = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(found), ids), none, none, pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["shingle", "n"])
 
-    return rows.select("__k", "__hash", "__text").mapInArrow(run, f"k {kind}, h long, node long, shingle long, n long")
+    return rows.filter(F.pmod(F.xxhash64("__text"), F.lit(SAMPLE)) == 0).select("__text").mapInArrow(run, "shingle long, n long")
 
 
-def prefixes(rows: DataFrame, words: int, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(key, node, n, at): the shingles of each set's prefix, its size and their places."""
+def sketched(rows: DataFrame, words: int, buckets: int, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """For each row (k, h, node, fp, n, cells), node naming its set; besides, with a null
+    node, prefixes (bucket, key, owner, place): packed keys, nodes, and sizes over places."""
+    kind = rows.schema["__k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, parts, held, ids = set(), [], 0, pa.null()
+        names = ["k", "h", "node", "fp", "n", "cells", "bucket", "key", "owner", "place"]
+        longs, blob = pa.int64(), pa.binary()
 
-        def out(parts):
-            key, node, n, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(n), pa.array(at)], names=["key", "node", "n", "at"])
+        def prefixes() -> Iterator[pa.RecordBatch]:
+            nonlocal parts, held
+            key, owner, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts, held = [], 0
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((key, bucket))
+            first = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b, (i, j) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                if i < j:
+                    m = order[i:j]
+                    own = [pa.array([x], blob) for x in (pack_keys(key[m]), packed(owner[m]), packed(place[m]))]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, ids), *(pa.nulls(1, longs) for _ in range(4)), pa.nulls(1, pa.list_(longs)), pa.array([b], longs), *own], names=names)
 
         for batch in batches:
-            parts, held = [], 0
-            for t in batch.column(0).cast(pa.binary()):
-                s = shingle_set(t.as_py(), words)
+            ids, nodes, prints, sizes, cells = batch.column(0).type, [], [], [], []
+            for t in batch.column(2).cast(pa.binary()):
+                hashes = [*shingle_hashes(t.as_py() or b"", words)]
+                s = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
                 node, n = name_of(s), len(s)
+                nodes.append(node)
+                prints.append(int(np.uint64(majority(hashes)).astype(np.int64)))
+                sizes.append(n)
+                cells.append(parities(s))
                 if not n or node in seen:
                     continue
                 seen.add(node)
                 p = n - (4 * n + 4) // 5 + 1
-                parts.append((in_order(s, common, rank)[:p], np.full(p, node, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)))
+                parts.append((in_order(s, common, rank)[:p] & KEY, np.full(p, node, np.int64), n << 32 | np.arange(p)))
                 held += p
-                if held > 1 << 17:
-                    yield out(parts)
-                    parts, held = [], 0
-            if parts:
-                yield out(parts)
+                if held > HELD:
+                    yield from prefixes()
+            none = (pa.nulls(len(nodes), x) for x in (longs, blob, blob, blob))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, longs) for x in (nodes, prints, sizes)), pa.array(cells, pa.list_(longs)), *none], names=names)
+        if parts:
+            yield from prefixes()
 
-    return rows.select("__text").mapInArrow(run, "key long, node long, n int, at int")
+    return rows.select("__k", "__hash", "__text").mapInArrow(run, f"k {kind}, h long, node long, fp long, n long, cells array<long>, bucket long, key binary, owner binary, place binary")
 
 
-def shared(signed: DataFrame) -> DataFrame:
-    """The rows of ``signed`` whose key another node has too, each once."""
+def shared(blobs: DataFrame) -> DataFrame:
+    """(key, node, n, at) of the prefix keys that another node has too, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(c.to_numpy() for c in b.columns) for b in batches]
-        if not parts:
-            return
-        key, node, n, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-        key, node, order = key[once], node[once], order[once]
-        same = key[1:] == key[:-1]
-        many = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
-        for i in range(0, len(many), 1 << 17):
-            m = many[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[m]), pa.array(node[m]), pa.array(n[order[m]]), pa.array(at[order[m]])], names=["key", "node", "n", "at"])
-
-    return signed.repartition("key").mapInArrow(run, "key long, node long, n int, at int")
+        by_bucket: dict[int, list] = {}
+        for batch in batches:
+            for bucket, *own in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                by_bucket.setdefault(bucket, []).append([unpack_keys(own[0].as_buffer()), *(unpacked(x.as_buffer()) for x in own[1:])])
+        for parts in by_bucket.values():
+            key, node, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            order = np.lexsort((node, key))
+            key, node, place = key[order], node[order], place[order]
+            once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+            key, node, place = key[once], node[once], place[once]
+            same = key[1:] == key[:-1]
+            many = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+            for i in range(0, len(many), 1 << 17):
+                m = many[i : i + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[m].view(np.int64)), pa.array(node[m]), pa.array((place[m] >> 32).astype(np.int32)), pa.array((place[m] & (2**32 - 1)).astype(np.int32))], names=["key", "node", "n", "at"])
+
+    return blobs.select("bucket", "key", "owner", "place").repartition("bucket").mapInArrow(run, "key long, node long, n int, at int")
 
 
 def candidates(groups: DataFrame, neighbours: bool) -> DataFrame:
@@ -174,8 +202,13 @@ def candidates(groups: DataFrame, neighbours: bool) -> DataFrame:
     return groups.select("key", "node", "n", "at", "label").repartition("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The ``pairs`` (a, b) of similar sets; ``texts`` is (node, text)."""
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """A table that is cut already, to be broadcast if it has FEW rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
+    """The ``pairs`` (a, b) of similar sets. nodes: (node, k, h, n, cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,8 +220,25 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 good.append(similar(s, shingle_set(y.as_py(), words)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
+    odd = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(9 * odd <= F.col("na") + F.col("nb"))
+    close = cut(close.select("a", "b"))
+    wanted = cut(close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(nodes, "node").select("node", "k", "h"))
+    texts = keyed.join(broadcast_if_few(wanted), F.col("__k").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h"))).select("node", F.col("__text").alias("text"))
+    texts = cut(texts.dropDuplicates(["node"]))
     of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return close.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def by_bits(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes whose fingerprints SimHash links, one node for each of these."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.join(prints, "fp").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    found = all_links(prints.select("fp"), 4, 4096)
+    ends = lambda x: prints.select(F.col("fp").alias(x), F.col("first").alias(f"n{x}"))
+    linked = found.join(ends("a"), "a").join(ends("b"), "b").select(F.col("na").alias("x"), F.col("nb").alias("y"))
+    return equal.union(linked).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
@@ -200,35 +250,31 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", words
     keyed = rows.select(F.col(at[id_column]).alias("__k"), "__hash", F.col(at[text]).alias("__text"))
     place = F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("h").alias("h"))
 
-    both = cut(named(keyed, words))
-    sets = both.filter("node is not null").select("k", "h", "node")
-    often = both.filter("node is null").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    often = sampled(keyed, words).groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     often = sorted((r.n, r.shingle) for r in often.orderBy(F.desc("n"), "shingle").limit(MOST).collect())
     common = np.array([x for _, x in often], np.int64).view(np.uint64)
     rank = np.argsort(common)
-    groups = cut(shared(prefixes(keyed, words, common[rank], rank)))
-
-    nodes = cut(sets.groupBy("node").agg(F.min(place).alias("p")).select("node", "p.k", "p.h"))
-    links = None
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = cut(sketched(keyed, words, buckets, common[rank], rank))
+    sets = both.filter("node is not null").select("k", "h", "node", "fp", "n", "cells")
+    groups = cut(shared(both.filter("node is null")))
+    nodes = cut(sets.groupBy("node").agg(F.min(place).alias("p"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("cells").alias("cells")).select("node", "p.k", "p.h", "fp", "n", "cells"))
+
+    tried = cut(by_bits(nodes))
+    links = cut(verified(tried, nodes, keyed, words))
     for neighbours in (True, False):
-        if links is None:
-            labelled = groups.withColumn("label", F.col("node"))
-        else:
-            roots = components(links)
-            labelled = groups.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        pairs = candidates(labelled, neighbours)
-        pairs = cut(pairs if links is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
-        texts = keyed.join(wanted, F.col("__k").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h"))).select("node", F.col("__text").alias("text"))
-        texts = cut(texts.dropDuplicates(["node"]))
-        good = cut(verified(pairs, texts, words))
-        links = good if links is None else cut(links.union(good))
+        roots = components(links)
+        labelled = groups.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        pairs = cut(candidates(labelled, neighbours).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        links = cut(links.union(verified(pairs, nodes, keyed, words)))
 
     roots = components(links)
-    classes = sets.join(roots, "node", "left").select("k", "h", F.coalesce("root", "node").alias("class"))
-    kept = classes.groupBy("class").agg(F.min(place).alias("first")).select(F.col("first.k").alias("__key"), F.col("first.h").alias("__fh"))
-    stay = rows.join(kept, F.col(at[id_column]).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__fh")), "left_semi")
+    classes = sets.select("k", "h", "node").join(roots, "node", "left").select("k", "h", F.coalesce("root", "node").alias("class"))
+    first = classes.groupBy("class").agg(F.min(place).alias("first"))
+    gone = classes.join(first, "class").filter(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("h") == F.col("first.h"))))
+    gone = cut(gone.select("k", "h").distinct())
+    stay = rows.join(broadcast_if_few(gone), F.col(at[id_column]).eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h")), "left_anti")
     repeated = sets.groupBy("k", "h").count().filter("count > 1")
     if not repeated.isEmpty():
         stay = stay.dropDuplicates([at[id_column], "__hash"])

@@ -22,7 +22,7 @@ where the table has their names; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -60,8 +60,12 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: bytes, words: int = 4) -> int:
     """Bit k is 1 if it is set in over half of the shingles' hashes."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
     n, ones = 0, np.zeros(BITS, np.int64)
-    for h in shingle_hashes(text, words):
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stemwise.llm import ctw
+from stemwise.llm import common, ctw
 from stemwise.llm.queries import QUERIES
 
 
@@ -111,7 +111,7 @@ def test_buffers_and_packing(monkeypatch):
         before = cut.add(coded, before)
     assert len(cut.sizes) > 2 and (whole.keys()[0] == cut.keys()[0]).all()
     key = np.unique(np.random.default_rng(0).integers(0, 2**64, 1000, np.uint64))
-    assert (ctw.unpack_keys(ctw.pack_keys(key)) == key).all() and (ctw.unpacked(ctw.packed(-key.view(np.int64))) == -key.view(np.int64)).all()
+    assert (common.unpack_keys(common.pack_keys(key)) == key).all() and (common.unpacked(common.packed(-key.view(np.int64))) == -key.view(np.int64)).all()
 
 
 def test_chunks_do_not_matter(spark, monkeypatch):

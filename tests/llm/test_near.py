@@ -69,3 +69,23 @@ def test_documents_by_brute_force(spark, monkeypatch, common):
 def test_copies_and_large_groups(spark):
     texts = made([0, 0, 1, 2, 3, 4, 5, 6]) * 5 + ["", None, "few words", "Few  words"] + made([1] * 3, seed=1)
     assert kept(spark, texts) == brute(enumerate(texts))
+
+
+def test_parities_drop_no_link():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        both = rng.integers(0, 2**64, rng.integers(1, 800), np.uint64)
+        a, b = (np.unique(np.r_[both, rng.integers(0, 2**64, rng.integers(0, 60), np.uint64)]) for _ in "ab")
+        differ = int(np.bitwise_count((near.parities(a) ^ near.parities(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (not near.similar(a, b) or 9 * differ <= len(a) + len(b))
+
+
+def test_recall_by_similarity(spark):
+    """All links of copies with so many changes; by four bits alone most would be lost."""
+    found, linked = {}, {}
+    for changes in range(1, 7):
+        texts = [t for s in range(20) for t in made([changes], seed=100 * changes + s)]
+        found[changes] = 40 - len(kept(spark, texts))
+        prints = [near.majority(near.shingle_hashes(t.encode(), 5)) for t in texts]
+        linked[changes] = sum((a ^ b).bit_count() <= 4 for a, b in zip(prints[::2], prints[1::2]))
+    assert found == dict.fromkeys(range(1, 7), 20) and linked[6] < 5

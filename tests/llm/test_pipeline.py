@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from stemwise.llm import cotraining, suffixes
 from stemwise.llm.queries import QUERIES
-from tests.llm.test_operators_a import brute_components, brute_counts, brute_print, words
+from tests.llm.test_near import brute as all_pairs
+from tests.llm.test_operators_a import brute_counts, words
 from tests.llm.test_suffixes import brute
 
 ROWS = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "w " * 60, "en", None, 120), *[(3, "some text that is kept " + " ".join(f"x{i}" for i in range(60)), "en", "a", None)] * 2]
@@ -42,13 +43,9 @@ def test_quality_stage(ran, spark, sf_dir):
 
 
 def test_simhash_stage(ran):
+    """One document of each group stays: groups by five-word similarity over all pairs."""
     before, after = ran[1]
-    prints = {r.doc_id: brute_print(r.text, 5) for r in before.itertuples()}
-    root = brute_components(set(prints.values()), corpus_pipeline.NEAR_BITS)
-    first = {}
-    for d, f in sorted(prints.items()):
-        first.setdefault(root[f], d)
-    assert sorted(after.doc_id) == sorted(first.values())
+    assert sorted(after.doc_id) == all_pairs(list(zip(before.doc_id, before.text)))
 
 
 def test_suffix_stage(ran):
