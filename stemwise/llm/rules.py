@@ -2,14 +2,16 @@
 
 Sequential covering: each rule is a conjunction of thresholds, grown literal by literal
 by information gain on two thirds of the labelled rows and pruned on the rest; rows it
-covers leave, and the next rule is learned. Every count comes from an aggregation over
-all labelled rows; only those counts (features x grid bins) reach the driver. The list
+covers leave, and the next rule is learned. The thresholds that rules may use are
+quantiles of the labelled rows themselves. Every count comes from an aggregation over all
+labelled rows; only those counts (features x thresholds) reach the driver. The list
 becomes one ordered conditional expression.
 
 Cases: null text has no words; null ids match no label; labels of a repeated id are
 averaged; rows without a label are judged but not learned from; without labels, or
 without a rule precise enough, the list is empty and keeps what passes the base test;
-an empty table gives no rows.
+a very long text is split into words, lines and windows within one task; result columns
+get a trailing underscore where the table has their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ SIGNALS = {
     "bang_rate": "n_bangs / n_words",
     "digit_rate": "n_digits / greatest(word_chars, 1)",
 }
-#: Thresholds that rules may use.
-GRID = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 12.0, 20.0)
+#: Thresholds of a signal: quantiles of the good labelled rows, and of the bad ones, at these shares.
+SHARES = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 1.0)
+#: Accuracy of a quantile, as a share of the rows, is one in so many.
+ACCURACY = 100_000
 
 
 @dataclass(frozen=True)
@@ -97,19 +101,31 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
+def thresholds(signals: DataFrame) -> dict[str, list[float]]:
+    """For each signal, the midpoints between neighbouring quantiles of good and bad rows."""
+    sides = [F.percentile_approx(F.when(F.col("bad") == y, F.col(n)), list(SHARES), ACCURACY) for n in SIGNALS for y in (0, 1)]
+    got = signals.agg(*sides).first()
+    out = {}
+    for i, n in enumerate(SIGNALS):
+        values = sorted({*(got[2 * i] or ()), *(got[2 * i + 1] or ())})
+        out[n] = [(a + b) / 2 for a, b in zip(values, values[1:])] or [1.0]
+    return out
+
+
 def learn(labelled: DataFrame, max_rules: int = 8, max_literals: int = 3, precision: float = 0.9, least: int = 3) -> list[list[Literal]]:
     """Rules for rows with ``bad`` = 1. ``labelled``: COUNTS, ``bad`` and ``fold`` (0, 1: grow; 2: prune)."""
     names = list(SIGNALS)
-    grid = F.array(*(F.lit(g) for g in GRID))
+    signals = cut(labelled.filter(~base_failed()).select("bad", (F.col("fold") < 2).alias("grow"), *(F.expr(x).cast("double").alias(n) for n, x in SIGNALS.items())))
+    grids = thresholds(signals)
 
     def bin_of(signal: str) -> Column:
-        return F.size(F.filter(grid, lambda g: g <= F.expr(SIGNALS[signal])))
+        return F.size(F.filter(F.array(*map(F.lit, grids[signal])), lambda g: g <= F.col(signal)))
 
     bins = F.array(*map(bin_of, names))
-    rows = cut(labelled.filter(~base_failed()).select("bad", (F.col("fold") < 2).alias("grow"), bins.alias("bins")))
+    rows = cut(signals.select("bad", "grow", bins.alias("bins")))
 
     def test(x: Literal) -> Column:
-        b, k = F.col("bins")[names.index(x.signal)], GRID.index(x.threshold)
+        b, k = F.col("bins")[names.index(x.signal)], grids[x.signal].index(x.threshold)
         return b > k if x.at_least else b <= k
 
     def holds(rule: list[Literal]) -> Column:
@@ -135,7 +151,7 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_literals: int = 3, precis
                 break
             best = None
             for s, by_bin in sorted(table.items()):
-                for k, threshold in enumerate(GRID):
+                for k, threshold in enumerate(grids[names[s]]):
                     for at_least in (True, False):
                         p, n = (sum(v[i] for b, v in by_bin.items() if (b > k) == at_least) for i in (0, 1))
                         if p < least or (p, n) == tuple(total):
@@ -189,10 +205,10 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
     at = dict(zip(df.columns, names, strict=True))
     out = dict(zip((*COUNTS, "base_failed", "kept"), fresh(df, *COUNTS, "base_failed", "kept"), strict=True))
     counted = statistics(df.toDF(*names), at[text])
-    slim = cut(counted.drop(at[text]) if set(df.columns) == {text, id_column} else counted.select(at[id_column], *COUNTS))
-    rules = rules_for(slim, labels, at[id_column], **options)
-    rows = slim if set(df.columns) == {text, id_column} else counted
-    # A filter on kept must not be pushed below the counts: it would hold, and compute,
-    # a copy of them for every literal. The row id is always true and stops that.
-    rows = rows.withColumns({"base_failed": base_failed(), "kept": verdict(rules) & (F.monotonically_increasing_id() >= 0)})
+    if set(df.columns) == {text, id_column}:
+        counted = counted.drop(at[text])
+    # Counted once: neither learning nor a filter on kept computes the counts again.
+    rows = cut(counted)
+    rules = rules_for(rows.select(at[id_column], *COUNTS), labels, at[id_column], **options)
+    rows = rows.withColumns({"base_failed": base_failed(), "kept": verdict(rules)})
     return rows.select(*(F.col(n).alias(c) for c, n in at.items() if n in rows.columns), *(F.col(c).alias(n) for c, n in out.items()))

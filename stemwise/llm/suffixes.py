@@ -342,12 +342,19 @@ def whole_characters(data: bytes, runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = 400, characters: bool = False) -> DataFrame:
+def whole_words(data: bytes, a: int, b: int) -> int:
+    """Words that lie wholly in data[a:b]."""
+    n = len(data[a:b].split())
+    n -= a > 0 and not data[a - 1 : a].isspace() and not data[a : a + 1].isspace()
+    return max(0, n - (b < len(data) and not data[b : b + 1].isspace() and not data[b - 1 : b].isspace()))
+
+
+def dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = 400, characters: bool = False, least_words: int = 0) -> DataFrame:
     """The rows of ``df`` with kept (binary: the text without what is removed),
     removed (pairs of start and end) and n_bytes in place of the text.
 
     With ``characters``, characters that a run covers in part stay, so that what is
-    kept is text again.
+    kept is text again. Runs that hold fewer than ``least_words`` whole words stay.
 
     Result columns get a trailing underscore where ``df`` has the name already.
     """
@@ -372,6 +379,8 @@ def dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", length:
                 runs = removed_spans(spans.values.to_numpy(), length).tolist()
                 if characters:
                     runs = whole_characters(data, runs)
+                if least_words:
+                    runs = [r for r in runs if whole_words(data, *r) >= least_words]
                 parts, at = [], 0
                 for a, b in runs:
                     parts.append(data[at:a])

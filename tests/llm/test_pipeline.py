@@ -11,7 +11,7 @@ from stemwise.llm import cotraining, suffixes
 from stemwise.llm.queries import QUERIES
 from tests.llm.test_near import brute as all_pairs
 from tests.llm.test_operators_a import brute_counts, words
-from tests.llm.test_suffixes import brute
+from tests.llm.test_suffixes import brute_runs
 
 ROWS = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "w " * 60, "en", None, 120), *[(3, "some text that is kept " + " ".join(f"x{i}" for i in range(60)), "en", "a", None)] * 2]
 
@@ -53,14 +53,20 @@ def test_suffix_stage(ran):
     length = corpus_pipeline.REPEAT_BYTES
     data = [t.encode() for t in before.text]
     want = {}
-    for d, t, (kept, gone, _) in zip(before.doc_id, data, brute(data, length)):
-        if words(kept.decode(errors="ignore")) or not gone:
-            want[d] = kept
-    assert set(after.doc_id) == set(want)
-    for d, t, n in zip(after.doc_id, after.text, after.n_chars):
-        assert n == len(t)
-        # Characters cut in part stay: at most three bytes at either end of a run.
-        assert 0 <= len(t.encode()) - len(want[d]) <= 6 * (1 + len(t) // length)
+    for d, t, runs in zip(before.doc_id, data, brute_runs(data, length)):
+        runs = suffixes.whole_characters(t, runs)
+        runs = [r for r in runs if suffixes.whole_words(t, *r) > 50]
+        at = [0, *(x for r in runs for x in r), len(t)]
+        kept = b"".join(t[a:b] for a, b in zip(at[::2], at[1::2]))
+        if words(kept.decode()) or not runs:
+            want[d] = kept.decode()
+    assert dict(zip(after.doc_id, after.text)) == want
+    assert (after.n_chars == after.text.map(len)).all()
+
+
+def test_whole_words():
+    data = b"one two  three"
+    assert [suffixes.whole_words(data, a, b) for a, b in [(0, 14), (1, 14), (0, 13), (3, 9), (4, 7), (5, 6), (7, 9)]] == [3, 2, 2, 1, 1, 0, 0]
 
 
 def test_mix_stage(ran):

@@ -25,6 +25,22 @@ def brute(texts, length):
     return out
 
 
+def brute_runs(texts, length):
+    """Maximal removed runs [start, end) of each text."""
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        runs = []
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = i + length
+                else:
+                    runs.append([i, i + length])
+        out.append(runs)
+    return out
+
+
 def corpus(seed):
     """Texts that share passages of all lengths, with edits, runs and short periods."""
     draw = random.Random(seed)
@@ -87,3 +103,16 @@ def test_odd_cases(spark):
     got = suffixes.dedup(df).collect()
     assert Counter((r.doc_id, r.n_bytes_, bytes(r.kept)) for r in got) == Counter([(None, 0, b""), (None, 0, b""), (1, 3000, b""), (1, 3000, b""), (2, 700, b""), (3, 399, b"q" * 399), (4, 401, b"")])
     assert suffixes.dedup(df.limit(0)).count() == 0
+
+
+def test_thousands_of_equal_rows(spark):
+    """Equal rows share one set of spans; planted passages go, shorter ones stay."""
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    copy, planted, short = word(900), word(400), word(399)
+    rows = [(7, copy)] * 3000 + [(i, word(300) + planted + word(200)) for i in range(8, 20)] + [(i, word(300) + "#" + short + "#" + word(200)) for i in range(20, 30)]
+    got = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "removed").collect()
+    by = Counter((r.doc_id, tuple(map(tuple, r.removed))) for r in got)
+    assert by[7, ((0, 900),)] == 3000
+    want = {i: [list(map(tuple, runs))] for (i, _), runs in zip(rows, brute_runs([t.encode() for _, t in rows], 400))}
+    assert all([list(map(tuple, r.removed))] == want[r.doc_id] for r in got)
