@@ -14,10 +14,9 @@ from stemwise.llm import mixing, near, packing, rules, suffixes
 from stemwise.llm.common import WORD, cut, table, word_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Passages of 50 words are about 300 bytes long.
-REPEAT_BYTES = 256
-#: The stage no longer links by bits; an older test of it still reads this.
-NEAR_BITS = 7
+#: Passages of over 50 words go that repeat over so many bytes; 51 words have 315 bytes on
+#: average, and under 256 in one case of 76.
+REPEAT_BYTES, REPEAT_WORDS = 256, 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +26,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 and more) the
-    document of least id stays."""
+    document of least id stays. SimHash links most of them; what its bits cannot see is
+    found by an exact join, and every link is verified on the whole texts."""
     return near.keep_one(docs.select(*COLUMNS), words=5)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every passage that occurs more than once is cut out of all its documents."""
-    out = suffixes.dedup(docs.select(*COLUMNS), length=REPEAT_BYTES, characters=True)
+    """Every passage of over 50 words that occurs more than once is cut out of all its documents."""
+    out = suffixes.dedup(docs.select(*COLUMNS), length=REPEAT_BYTES, characters=True, least_words=REPEAT_WORDS)
     text = F.col("kept").cast("string")
     out = out.withColumn("text", text).withColumn("n_chars", F.when(F.size("removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
     return out.filter((F.size("removed") == 0) | F.col("text").rlike(WORD)).select(*COLUMNS)
