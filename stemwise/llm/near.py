@@ -13,7 +13,7 @@ Two texts are linked if their sets of shingles (XXH64 of so many words, see
 
 Every candidate passes two tests: parities of the shingles in 1,024 cells, which differ in
 no more cells than the sets differ in shingles and so drop no link, and then the whole
-texts. Nothing linked is missed, and nothing is linked that is not so similar.
+texts, each of which travels once to those it is compared with. Nothing linked is missed, and nothing is linked that is not so similar.
 
 Shingles common in a sample of the texts come last in the order. That decides how many
 candidates there are, not the result. Prefixes travel as packed arrays; a task holds its
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, pack_keys, packed, unpack_keys, unpacked
@@ -40,6 +41,8 @@ from .simhash import all_links, components, majority, shingle_hashes
 SAMPLE, COMMON, MOST = 8, 8, 100_000
 #: Keys of a prefix; keys packed at once; cells of the parities; rows that are broadcast.
 KEY, HELD, CELLS, FEW = np.uint64(2**48 - 1), 1_000_000, 1024, 300_000
+#: Shingles of the texts that one task compares with one another.
+TOGETHER = 4_000_000
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -89,13 +92,14 @@ def sampled(rows: DataFrame, words: int) -> DataFrame:
 
 
 def sketched(rows: DataFrame, words: int, buckets: int, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """For each row (k, h, node, fp, n, cells), node naming its set; besides, with a null
-    node, prefixes (bucket, key, owner, place): packed keys, nodes, and sizes over places."""
+    """For each row (k, h, node, fp, n, cells, number), node naming its set, and a number for
+    the first of equal ones in a task; besides, with a null node, prefixes (bucket, key,
+    owner, place): packed keys, numbers, and sizes over places."""
     kind = rows.schema["__k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, parts, held, ids = set(), [], 0, pa.null()
-        names = ["k", "h", "node", "fp", "n", "cells", "bucket", "key", "owner", "place"]
+        seen, parts, held, ids, first_number = set(), [], 0, pa.null(), TaskContext.get().partitionId() << 40
+        names = ["k", "h", "node", "fp", "n", "cells", "number", "bucket", "key", "owner", "place"]
         longs, blob = pa.int64(), pa.binary()
 
         def prefixes() -> Iterator[pa.RecordBatch]:
@@ -109,10 +113,10 @@ def sketched(rows: DataFrame, words: int, buckets: int, common: np.ndarray, rank
                 if i < j:
                     m = order[i:j]
                     own = [pa.array([x], blob) for x in (pack_keys(key[m]), packed(owner[m]), packed(place[m]))]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, ids), *(pa.nulls(1, longs) for _ in range(4)), pa.nulls(1, pa.list_(longs)), pa.array([b], longs), *own], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, ids), *(pa.nulls(1, longs) for _ in range(4)), pa.nulls(1, pa.list_(longs)), pa.nulls(1, longs), pa.array([b], longs), *own], names=names)
 
         for batch in batches:
-            ids, nodes, prints, sizes, cells = batch.column(0).type, [], [], [], []
+            ids, nodes, prints, sizes, cells, numbers = batch.column(0).type, [], [], [], [], []
             for t in batch.column(2).cast(pa.binary()):
                 hashes = [*shingle_hashes(t.as_py() or b"", words)]
                 s = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
@@ -121,24 +125,26 @@ def sketched(rows: DataFrame, words: int, buckets: int, common: np.ndarray, rank
                 prints.append(int(np.uint64(majority(hashes)).astype(np.int64)))
                 sizes.append(n)
                 cells.append(parities(s))
+                numbers.append(None)
                 if not n or node in seen:
                     continue
+                numbers[-1] = first_number + len(seen)
                 seen.add(node)
                 p = n - (4 * n + 4) // 5 + 1
-                parts.append((in_order(s, common, rank)[:p] & KEY, np.full(p, node, np.int64), n << 32 | np.arange(p)))
+                parts.append((in_order(s, common, rank)[:p] & KEY, np.full(p, numbers[-1], np.int64), n << 32 | np.arange(p)))
                 held += p
                 if held > HELD:
                     yield from prefixes()
             none = (pa.nulls(len(nodes), x) for x in (longs, blob, blob, blob))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, longs) for x in (nodes, prints, sizes)), pa.array(cells, pa.list_(longs)), *none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, longs) for x in (nodes, prints, sizes)), pa.array(cells, pa.list_(longs)), pa.array(numbers, longs), *none], names=names)
         if parts:
             yield from prefixes()
 
-    return rows.select("__k", "__hash", "__text").mapInArrow(run, f"k {kind}, h long, node long, fp long, n long, cells array<long>, bucket long, key binary, owner binary, place binary")
+    return rows.select("__k", "__hash", "__text").mapInArrow(run, f"k {kind}, h long, node long, fp long, n long, cells array<long>, number long, bucket long, key binary, owner binary, place binary")
 
 
 def shared(blobs: DataFrame) -> DataFrame:
-    """(key, node, n, at) of the prefix keys that another node has too, each once."""
+    """(key, number, n, at) of the prefix keys that another number has too, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, list] = {}
@@ -156,9 +162,9 @@ def shared(blobs: DataFrame) -> DataFrame:
             many = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
             for i in range(0, len(many), 1 << 17):
                 m = many[i : i + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[m].view(np.int64)), pa.array(node[m]), pa.array((place[m] >> 32).astype(np.int32)), pa.array((place[m] & (2**32 - 1)).astype(np.int32))], names=["key", "node", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[m].view(np.int64)), pa.array(node[m]), pa.array((place[m] >> 32).astype(np.int32)), pa.array((place[m] & (2**32 - 1)).astype(np.int32))], names=["key", "number", "n", "at"])
 
-    return blobs.select("bucket", "key", "owner", "place").repartition("bucket").mapInArrow(run, "key long, node long, n int, at int")
+    return blobs.select("bucket", "key", "owner", "place").repartition("bucket").mapInArrow(run, "key long, number long, n int, at int")
 
 
 def candidates(groups: DataFrame, neighbours: bool) -> DataFrame:
@@ -172,6 +178,8 @@ def candidates(groups: DataFrame, neighbours: bool) -> DataFrame:
         key, node, n, at, label = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         order = np.lexsort((node, label, key))
+        once = np.r_[True, (key[order][1:] != key[order][:-1]) | (node[order][1:] != node[order][:-1])]
+        order = order[once]
         key, node, label, n, at = key[order], node[order], label[order], n[order].astype(np.int64), at[order].astype(np.int64)
         new = np.r_[True, key[1:] != key[:-1]]
         ends = lambda starts: np.repeat(np.r_[starts[1:], len(key)], np.diff(np.r_[starts, len(key)]))
@@ -207,8 +215,38 @@ def broadcast_if_few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
-    """The ``pairs`` (a, b) of similar sets. nodes: (node, k, h, n, cells)."""
+def checked_together(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The similar ones of ``pairs`` (root, a, b), but for those between texts that the links
+    found before them join already. texts: (root, node, text). One root, one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, up = None, {}, {}
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            good = []
+            for root, a, b, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.binary()), strict=True):
+                if root != at:
+                    at, sets, up = root, {}, {}
+                if b is None:
+                    sets[a], up[a] = shingle_set(text.as_py(), words), a
+                elif find(a) != find(b) and similar(sets[a], sets[b]):
+                    up[find(a)] = find(b)
+                    good.append((a, b))
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*good, strict=True)], names=["a", "b"])
+
+    held = texts.select("root", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    both = held.union(pairs.select("root", "a", "b", F.lit(None).cast("string")))
+    return both.repartition("root").sortWithinPartitions("root", F.col("b").asc_nulls_first(), "a").mapInArrow(run, "a long, b long")
+
+
+def checked_apart(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The similar ones of ``pairs`` (a, b), with both texts beside each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,15 +258,35 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int) -
                 good.append(similar(s, shingle_set(y.as_py(), words)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
+    of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) that join what the similar ones of ``pairs`` (a, b) join. nodes: (node,
+    k, h, n, cells).
+
+    Pairs that pass the parities are put together by what they reach, and each text
+    travels once to its group's task; groups of over TOGETHER shingles go pair by pair.
+    """
+    ends = lambda df: df.select(F.col("a").alias("node")).union(df.select("b")).distinct()
+    asked = cut(nodes.join(broadcast_if_few(cut(ends(pairs))), "node"))
+    side = lambda x: asked.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
     odd = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     close = pairs.join(side("a"), "a").join(side("b"), "b").filter(9 * odd <= F.col("na") + F.col("nb"))
     close = cut(close.select("a", "b"))
-    wanted = cut(close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(nodes, "node").select("node", "k", "h"))
-    texts = keyed.join(broadcast_if_few(wanted), F.col("__k").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h"))).select("node", F.col("__text").alias("text"))
+    roots = components(close)
+    roots = roots.union(roots.select("root", "root").distinct())
+    wanted = asked.join(roots, "node").select("node", "root", "n", "k", "h")
+    large = wanted.groupBy("root").agg((F.sum("n") > TOGETHER).alias("large"))
+    wanted = cut(wanted.join(large, "root").select("node", "root", "large", "k", "h"))
+    texts = keyed.join(broadcast_if_few(wanted), F.col("__k").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h"))).select("node", "root", "large", F.col("__text").alias("text"))
     texts = cut(texts.dropDuplicates(["node"]))
-    of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    return close.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    whose = close.join(wanted.select(F.col("node").alias("a"), "root", "large"), "a")
+    small = checked_together(whose.filter("not large"), texts.filter("not large"), words)
+    if texts.filter("large").isEmpty():
+        return small
+    return small.union(checked_apart(whose.filter("large").select("a", "b"), texts.filter("large"), words))
 
 
 def by_bits(nodes: DataFrame) -> DataFrame:
@@ -257,14 +315,14 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", words
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = cut(sketched(keyed, words, buckets, common[rank], rank))
     sets = both.filter("node is not null").select("k", "h", "node", "fp", "n", "cells")
-    groups = cut(shared(both.filter("node is null")))
+    numbers = cut(both.filter("number is not null").select("number", "node"))
+    groups = cut(shared(both.filter("node is null")).join(broadcast_if_few(numbers), "number").select("key", "node", "n", "at"))
     nodes = cut(sets.groupBy("node").agg(F.min(place).alias("p"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("cells").alias("cells")).select("node", "p.k", "p.h", "fp", "n", "cells"))
 
     tried = cut(by_bits(nodes))
     links = cut(verified(tried, nodes, keyed, words))
     for neighbours in (True, False):
-        roots = components(links)
-        labelled = groups.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        labelled = groups.join(broadcast_if_few(components(links)), "node", "left").withColumn("label", F.coalesce("root", "node"))
         pairs = cut(candidates(labelled, neighbours).join(tried, ["a", "b"], "left_anti"))
         tried = tried.union(pairs)
         links = cut(links.union(verified(pairs, nodes, keyed, words)))

@@ -8,8 +8,8 @@ verified by counting bits.
 
 Only distinct fingerprints are indexed, so exact copies cost nothing. Tasks hand on a
 spanning forest of the links they find, never all pairs of a group. Signatures are counted
-first, partly before any shuffle; the members of those with more than ``hot`` are not
-joined on them but indexed anew by a plan with longer signatures, and where the last
+within each task before any shuffle; the members of those that may have more than ``hot``
+are not joined on them but indexed anew by a plan with longer signatures, and where the last
 plan's are still too common, a signature's members are dealt into blocks of about ``hot``
 and compared block against block, each pair of blocks in a group of its own.
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut, fresh
 
 BITS = 64
-#: Plans tried one after the other; signatures a task compares; hot keys that are broadcast (16 bytes each).
+#: Plans tried one after the other; signatures a task compares; hot keys that are broadcast (8 bytes each).
 LEVELS, SIGNED, MOST_KEYS = 4, 2_000_000, 1_000_000
 #: Shingles hashed at once.
 BLOCK = 1 << 16
@@ -146,16 +146,26 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def hot_keys(signed: DataFrame, hot: int) -> DataFrame:
-    """(key, n): signatures with over ``hot`` members. There are few: each needs so many."""
-    return cut(signed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot))
+def hot_keys(todo: DataFrame, distance: int, level: int, hot: int) -> DataFrame:
+    """Signatures that some task of ``todo`` has over hot / tasks times: those with over
+    ``hot`` members are among them. Nothing is shuffled; ``todo`` must be cut."""
+    tasks = max(1, todo.select(F.spark_partition_id()).distinct().count())
+    least = max(1, hot // tasks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.column(0).to_numpy() for b in batches]
+        if parts:
+            key, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key[n > least])], names=["key"])
+
+    return cut(signatures(todo, distance, level).select("key").mapInArrow(run, "key long").distinct())
 
 
-def in_blocks(signed: DataFrame, keys: DataFrame, hot: int) -> DataFrame:
-    """``signed`` with each member of the hot ``keys`` dealt into one of enough blocks, and
+def in_blocks(common: DataFrame, hot: int) -> DataFrame:
+    """Members (key, fp) of common signatures, each dealt into one of enough blocks, and
     there once for every block: equal keys are now those of a pair of blocks."""
-    n = F.ceil(F.col("n") / F.lit(hot)).cast("int")
-    common = signed.join(keys, "key").withColumn("blocks", n).withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(11)), F.col("blocks")).cast("int"))
+    sizes = cut(common.groupBy("key").agg(F.ceil(F.count("*") / F.lit(hot)).cast("int").alias("blocks")))
+    common = common.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(11)), F.col("blocks")).cast("int"))
     paired = common.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return paired.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp")
 
@@ -200,7 +210,7 @@ def all_links(prints: DataFrame, distance: int, hot: int, levels: int = LEVELS)
         masks = sum(len(v) for _, v in signature_masks(*plan(distance, level)))
         tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), todo.count() * masks // SIGNED)
         signed = signatures(todo, distance, level)
-        keys = hot_keys(signed, hot)
+        keys = hot_keys(todo, distance, level, hot)
         few = keys.count()
         rest = signed.join(F.broadcast(keys) if few < MOST_KEYS else keys, "key", "left_anti") if few else signed
         out = cut(links(rest, distance, tasks))
@@ -209,7 +219,7 @@ def all_links(prints: DataFrame, distance: int, hot: int, levels: int = LEVELS)
             break
         common = signed.join(F.broadcast(keys) if few < MOST_KEYS else keys, "key", "left_semi")
         if level == levels - 1:
-            found = found.union(cut(links(in_blocks(common, keys, hot), distance, tasks)))
+            found = found.union(cut(links(in_blocks(common, hot), distance, tasks)))
         else:
             todo = cut(common.select("fp").distinct())
     return found

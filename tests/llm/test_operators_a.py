@@ -235,13 +235,20 @@ def test_simhash_hot_signatures(spark):
 def test_hot_signatures_are_dealt_into_blocks(spark):
     """No pair of a hot key's members is lost, and no group stays large."""
     signed = spark.range(1000).selectExpr("id % 2 as key", "id as fp")
-    keys = simhash.hot_keys(signed, 50)
-    out = simhash.in_blocks(signed, keys, 50).toPandas()
+    out = simhash.in_blocks(signed, 50).toPandas()
     assert out.groupby("key").size().max() < 200
     met = {p for _, g in out.groupby("key") for p in combinations(sorted(g.fp), 2)}
     assert met == {p for k in (0, 1) for p in combinations(range(k, 1000, 2), 2)}
 
 
+def test_hot_keys_miss_none(spark):
+    """Every signature with over ``hot`` members is named, however the rows are dealt."""
+    prints = spark.range(400).selectExpr("if(id < 300, id, id * 7919123456789) as fp").repartition(5).checkpoint()
+    counted = simhash.signatures(prints, 4, 0).groupBy("key").count().filter("count > 60")
+    named = {r.key for r in simhash.hot_keys(prints, 4, 0, 60).collect()}
+    assert named and {r.key for r in counted.collect()} <= named
+
+
 def test_simhash_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c d", 7, 8)], "doc_id long, text string, Fingerprint int, component_id int")
     out = simhash.near_duplicates(df)
