@@ -11,9 +11,9 @@ Two texts are linked if their sets of shingles (XXH64 of so many words, see
 3. then, of texts that have not been linked yet, all pairs of a group; so a large group
    of near copies costs no pairs.
 
-Every candidate passes two tests: parities of the shingles in 1,024 cells, which differ in
-no more cells than the sets differ in shingles and so drop no link, and then the whole
-texts, each of which travels once to those it is compared with. Nothing linked is missed, and nothing is linked that is not so similar.
+Every candidate passes two tests: parities of the shingles in as many cells or more, which
+differ in no more cells than the sets differ in shingles and so drop no link, and then
+the whole texts, each of which travels once to those it is compared with. Nothing linked is missed, and nothing is linked that is not so similar.
 
 Shingles common in a sample of the texts come last in the order. That decides how many
 candidates there are, not the result. Prefixes travel as packed arrays; a task holds its
@@ -32,14 +32,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, pack_keys, packed, unpack_keys, unpacked
 from .simhash import all_links, components, majority, shingle_hashes
 
 #: One text of so many is sampled; a shingle in so many of them is common; so many at most.
 SAMPLE, COMMON, MOST = 8, 8, 100_000
-#: Keys of a prefix; keys packed at once; cells of the parities; rows that are broadcast.
+#: Keys of a prefix; keys packed at once; cells of the parities at least; rows that are broadcast.
 KEY, HELD, CELLS, FEW = np.uint64(2**48 - 1), 1_000_000, 1024, 300_000
 #: Shingles of the texts that one task compares with one another.
 TOGETHER = 4_000_000
@@ -61,11 +61,28 @@ def name_of(shingles: np.ndarray) -> int:
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
-    """Bit c of 1,024 tells whether an odd number of the shingles fall into cell c."""
-    cells = np.bincount((shingles >> np.uint64(48)) % np.uint64(CELLS), minlength=CELLS)
+    """Bit c tells whether an odd number of the shingles fall into cell c. There are as many
+    cells as shingles, rounded up to a power of two: CELLS to 65,536."""
+    many = CELLS
+    while many < min(len(shingles), 1 << 16):
+        many *= 2
+    cells = np.bincount((shingles >> np.uint64(48)) % np.uint64(many), minlength=many)
     return np.packbits(cells & 1, bitorder="little").view(np.int64)
 
 
+def folded(cells: Column, other: Column) -> Column:
+    """``cells`` as of half as many, where ``other`` has fewer."""
+    half = F.size(other)
+    return F.when(F.size(cells) > half, F.zip_with(F.slice(cells, 1, half), F.slice(cells, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(cells)
+
+
+def may_be_similar(na: Column, nb: Column, ca: Column, cb: Column) -> Column:
+    """False only for sets, by sizes and parities, of a similarity below 0.8."""
+    differ = F.zip_with(folded(ca, cb), folded(cb, ca), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    odd = F.aggregate(differ, F.lit(0), lambda s, v: s + v)
+    return F.when((5 * na >= 4 * nb) & (5 * nb >= 4 * na), 9 * odd <= na + nb).otherwise(False)
+
+
 def in_order(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The shingles that are not ``common`` (sorted) first, then these by ``rank``."""
     if not len(common):
@@ -272,8 +289,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int) -
     ends = lambda df: df.select(F.col("a").alias("node")).union(df.select("b")).distinct()
     asked = cut(nodes.join(broadcast_if_few(cut(ends(pairs))), "node"))
     side = lambda x: asked.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
-    odd = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(9 * odd <= F.col("na") + F.col("nb"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be_similar(*map(F.col, ("na", "nb", "ca", "cb"))))
     close = cut(close.select("a", "b"))
     roots = components(close)
     roots = roots.union(roots.select("root", "root").distinct())

@@ -73,13 +73,18 @@ def test_copies_and_large_groups(spark, monkeypatch, together):
     assert kept(spark, texts) == brute(enumerate(texts))
 
 
-def test_parities_drop_no_link():
+def test_parities_drop_no_link(spark):
     rng = np.random.default_rng(2)
-    for _ in range(50):
-        both = rng.integers(0, 2**64, rng.integers(1, 800), np.uint64)
-        a, b = (np.unique(np.r_[both, rng.integers(0, 2**64, rng.integers(0, 60), np.uint64)]) for _ in "ab")
-        differ = int(np.bitwise_count((near.parities(a) ^ near.parities(b)).view(np.uint64)).sum())
-        assert differ <= len(np.setxor1d(a, b)) and (not near.similar(a, b) or 9 * differ <= len(a) + len(b))
+    rows, similar = [], []
+    for i in range(80):
+        both = rng.integers(0, 2**64, rng.integers(1, 800) if i % 2 else rng.integers(800, 9000), np.uint64)
+        a, b = (np.unique(np.r_[both, rng.integers(0, 2**64, rng.integers(0, max(60, len(both) // 5)), np.uint64)]) for _ in "ab")
+        rows.append((i, len(a), len(b), near.parities(a).tolist(), near.parities(b).tolist()))
+        similar.append(near.similar(a, b))
+    df = spark.createDataFrame(rows, "i long, na long, nb long, ca array<long>, cb array<long>")
+    kept_ = {r.i for r in df.filter(near.may_be_similar(*map(F.col, ("na", "nb", "ca", "cb")))).collect()}
+    assert {i for i, x in enumerate(similar) if x} <= kept_ and len(kept_) < 80
+    assert {len(r[3]) for r in rows} >= {16, 64, 128}
 
 
 def test_recall_by_similarity(spark):
