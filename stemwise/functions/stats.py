@@ -1,13 +1,15 @@
 """Interval and test statistics over counted rows.
 
-Tails come in two forms: native columns, which walk from the tail's largest term, and
-exact ones (integers and fractions) as Arrow UDFs over the few aggregated rows.
+Tails come in two forms: native columns, which walk from the tail's largest term for as
+many terms as the square root of n, and exact ones (integers and fractions, whose cost
+grows with the square of n: for tables of up to some 10,000 answers) as Arrow UDFs over
+the few aggregated rows.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
-from math import comb
+from math import comb, lgamma, log, pi
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -35,34 +37,53 @@ def rho(acc: Column, full: Column, chance: float = CHANCE) -> Column:
     return F.when(full > chance, (acc - chance) / (full - chance))
 
 
+#: Logarithms of 0! to 15!; beyond, Stirling's series is exact to the last digit.
+_FACTORIALS = "array(" + ", ".join(f"{lgamma(i + 1)!r}D" for i in range(16)) + ")"
+_HALF_LOG_2PI = 0.5 * log(2 * pi)
+
+
+def _stirling_error(x: str) -> str:
+    """ln x! - ln(sqrt(2 pi x) (x / e)^x) for x >= 1."""
+    small = f"element_at({_FACTORIALS}, cast({x} as int) + 1) - ({x} + 0.5D) * ln(cast({x} as double)) + {x} - {_HALF_LOG_2PI!r}D"
+    large = f"(1 / 12D - (1 / 360D - (1 / 1260D - 1 / (1680D * {x} * {x})) / ({x} * {x})) / ({x} * {x})) / {x}"
+    return f"if({x} < 16, {small}, {large})"
+
+
+def _log_term(k: str, n: str, p: float) -> str:
+    """ln of the binomial probability of k of n, by deviances, so nothing large cancels."""
+    r, q = f"({n} - {k})", 1 - p
+    deviance = lambda x, m: f"({x} * ln({x} / ({m})) + ({m}) - {x})"
+    inner = f"{_stirling_error(n)} - ({_stirling_error(k)}) - ({_stirling_error(r)}) - {deviance(k, f'{n} * {p}D')} - {deviance(r, f'{n} * {q!r}D')} + 0.5D * ln({n} / (2 * {pi!r}D * {k} * {r}))"
+    return f"case when {k} <= 0 then {n} * ln({q!r}D) when {k} >= {n} then {n} * ln({p}D) else {inner} end"
+
+
 def _binom_sum(frm: str, to: str, n: str, p: float) -> str:
-    """Sum of binomial terms frm..to (frm the largest, going away from the mean)."""
-    odds = p / (1 - p)
-    log_term = f"aggregate(if({frm} < 1, array(0), sequence(1, {frm})), 0D, (s, i) -> if({frm} < 1, 0D, s + ln(({n} - {frm} + i) / i))) + {frm} * ln({p}D) + ({n} - {frm}) * ln(1 - {p}D)"
-    up = f"aggregate(sequence({frm}, {to}), named_struct('s', 0D, 't', 1D), (a, i) -> named_struct('s', a.s + a.t, 't', a.t * ({n} - i) / (i + 1) * {odds}D), a -> a.s)"
-    down = f"aggregate(sequence({frm}, {to}), named_struct('s', 0D, 't', 1D), (a, i) -> named_struct('s', a.s + a.t, 't', a.t * i / ({n} - i + 1) / {odds}D), a -> a.s)"
-    return f"exp({log_term}) * if({to} >= {frm}, {up}, {down})"
+    """Sum of binomial terms frm..to (frm the largest, going away from the mean). Terms
+    beyond 9 sqrt(n) + 60 of them, over 18 deviations away, add nothing."""
+    odds, far = p / (1 - p), f"(cast(9 * sqrt({n}) as bigint) + 60)"
+    up = f"aggregate(sequence({frm}, least({to}, {frm} + {far})), named_struct('s', 0D, 't', 1D), (a, i) -> named_struct('s', a.s + a.t, 't', a.t * ({n} - i) / (i + 1) * {odds!r}D), a -> a.s)"
+    down = f"aggregate(sequence({frm}, greatest({to}, {frm} - {far})), named_struct('s', 0D, 't', 1D), (a, i) -> named_struct('s', a.s + a.t, 't', a.t * i / ({n} - i + 1) / {odds!r}D), a -> a.s)"
+    return f"exp({_log_term(frm, n, p)}) * if({to} >= {frm}, {up}, {down})"
 
 
 def binom_sf(k: str, n: str, p: float = CHANCE) -> Column:
     """P(X >= k) of Binomial(n, p), from column names; native."""
-    k, n = f"cast({k} as int)", f"cast({n} as int)"
-    upper, lower = _binom_sum(k, n, n, p), _binom_sum(f"({k} - 1)", "0", n, p)
+    k, n = f"cast({k} as bigint)", f"cast({n} as bigint)"
+    upper, lower = _binom_sum(k, n, n, p), _binom_sum(f"({k} - 1)", "0L", n, p)
     return F.expr(f"case when {k} <= 0 then 1D when {k} > {n} then 0D when {k} > {n} * {p}D then {upper} else 1D - {lower} end")
 
 
 def binom_cdf(k: str, n: str, p: float = CHANCE) -> Column:
     """P(X <= k)."""
-    k, n = f"cast({k} as int)", f"cast({n} as int)"
-    upper, lower = _binom_sum(f"({k} + 1)", n, n, p), _binom_sum(k, "0", n, p)
+    k, n = f"cast({k} as bigint)", f"cast({n} as bigint)"
+    upper, lower = _binom_sum(f"({k} + 1)", n, n, p), _binom_sum(k, "0L", n, p)
     return F.expr(f"case when {k} < 0 then 0D when {k} >= {n} then 1D when {k} < {n} * {p}D then {lower} else 1D - {upper} end")
 
 
 def mcnemar(b: str, c: str) -> Column:
     """Exact two-sided McNemar test of discordant counts."""
-    n = f"({b} + {c})"
-    low, zero = f"cast(least({b}, {c}) as int)", f"cast({n} as int)"
-    tail = _binom_sum(low, "0", zero, 0.5)
+    n, low = f"cast({b} + {c} as bigint)", f"cast(least({b}, {c}) as bigint)"
+    tail = _binom_sum(low, "0L", n, 0.5)
     return F.expr(f"case when {n} = 0 then 1D else least(1D, 2 * if({low} * 2 >= {n}, 1D, {tail})) end")
 
 

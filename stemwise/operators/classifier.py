@@ -34,6 +34,20 @@ def scale(train: DataFrame, df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(moments)).select(*df.columns[: len(df.columns)], *(((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(f"z_{c}") for c in DENSE))
 
 
+def best_of(scores: list[tuple[float, float]]) -> float:
+    """Of (C, accuracy) in the grid's order the C of the highest accuracy; of equals the first."""
+    best = None
+    for c, accuracy in scores:
+        if best is None or accuracy > best[1]:
+            best = c, accuracy
+    return best[0]
+
+
+def labelled_rows(options: DataFrame) -> DataFrame:
+    """(item_pos, letter, label): a row and a binary label for each option."""
+    return options.select("item_pos", "letter", F.col("is_gold").cast("int").alias("label"))
+
+
 class OptionClassifier:
     """fit on option rows (item_pos, letter, letter_idx, text, is_gold, DENSE, part)."""
 
@@ -73,15 +87,16 @@ class OptionClassifier:
 
             self.weigh = weigh
         fit = self._features(self.train).withColumn("label", F.col("is_gold").cast("double"))
-        n, best = fit.count(), None
+        n, models, scores = fit.count(), {}, []
         for c in self.grid:
             # The constant is a feature, so it is penalised like the others.
             model = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=1000, tol=1e-4).fit(fit)
             self.model = model
             got = self.picks(rows.filter("part = 'validation'")).agg(F.avg((F.col("pick") == F.col("gold")).cast("int"))).first()[0] or 0.0
-            if best is None or got > best[0]:
-                best = got, c, model
-        self.accuracy, self.c, self.model = best
+            models[c] = model
+            scores.append((c, got))
+        self.c = best_of(scores)
+        self.accuracy, self.model = dict(scores)[self.c], models[self.c]
         return self
 
     def picks(self, rows: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def parse_strict(raw: DataFrame) -> DataFrame:
     parts = F.split("data", T.OPTION_SPLIT)
     rows = raw.withColumns({"data": F.coalesce("data", F.lit("")), "label": F.coalesce("label", F.lit(""))})
     rows = rows.withColumns({"marker": marker, "letters": T.found(F.col("data"), T.OPTION_SPLIT, 1), "parts": F.transform(parts, T.trim_ws)})
-    rows = rows.withColumns({"question": T.trim_ws(F.col("parts")[0]), "texts": F.slice("parts", 2, 100), "answer": F.upper("marker")})
+    rows = rows.withColumns({"question": T.trim_ws(F.col("parts")[0]), "texts": F.slice("parts", F.lit(2), F.greatest(F.size("parts"), F.lit(1))), "answer": F.upper("marker")})
     reject = (
         F.when(F.col("marker").isNull(), "no_marker")
         .when(F.length("marker") > 1, "multi_answer")
@@ -136,12 +136,17 @@ def swap_donor(options: DataFrame, seed: int) -> DataFrame:
     """Each item's right option replaced by a random option of another item of its bank.
 
     A random neighbour in a seeded ring of the bank's items donates, so no pair of items
-    is ever formed: the ring is one window per bank over items, and the join is on the
-    donor's position and letter.
+    is ever formed. The ring is cut into 4,096 arcs by the seed's hash; only the table of
+    the arcs' first items has a window per bank. The join is on donor and letter.
     """
     ring = options.select("item_pos", "bank").distinct().withColumn("h", sample_key(seed, "item_pos"))
-    w = Window.partitionBy("bank").orderBy("h")
-    ring = ring.withColumn("donor", F.coalesce(F.lead("item_pos").over(w), F.first("item_pos").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    ring = ring.withColumn("arc", F.substring("h", 1, 3))
+    w = Window.partitionBy("bank").orderBy("arc")
+    arcs = ring.groupBy("bank", "arc").agg(F.min_by("item_pos", "h").alias("first"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    arcs = arcs.select("bank", "arc", F.coalesce(F.lead("first").over(w), F.first("first").over(whole)).alias("next"))
+    inside = F.lead("item_pos").over(Window.partitionBy("bank", "arc").orderBy("h"))
+    ring = ring.withColumn("inside", inside).join(arcs, ["bank", "arc"]).withColumn("donor", F.coalesce("inside", "next"))
     letter = T.letter_at(F.conv(F.substring(sample_key(seed + 1, "item_pos"), 1, 8), 16, 10).cast("long") % 5)
     ring = ring.filter("donor <> item_pos").select("item_pos", "donor", letter.alias("donor_letter"))
     theirs = options.select(F.col("item_pos").alias("donor"), F.col("letter").alias("donor_letter"), F.col("text").alias("donor_text"))

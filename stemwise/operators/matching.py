@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .items import parse_last_run
 
 
 def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -30,28 +31,47 @@ def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     return pairs.groupBy("item_pos").agg(F.max("shared").alias("shared"))
 
 
+def overlapping(train: DataFrame, evaluation: DataFrame, least: int) -> DataFrame:
+    """(item_pos, shared) of the items that share ``least`` option texts or more with one
+    evaluation item, as ``overlaps`` counts.
+
+    An item's commonest texts that make up least - 1 of its options cannot be all that it
+    shares, so only its other, rarer texts are joined; the pairs found are then counted. A
+    text that very many items have is thus hardly ever joined on.
+    """
+    text = T.norm_lower(F.col("text"))
+    theirs = evaluation.select(text.alias("t"), F.col("item_pos").alias("other")).distinct()
+    mine = train.groupBy("item_pos", text.alias("t")).agg(F.count("*").alias("c"))
+    often = theirs.groupBy("t").agg(F.count("*").alias("often"))
+    ranked = mine.join(often, "t", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    before = F.sum("c").over(Window.partitionBy("item_pos").orderBy(F.desc("often"), "t"))
+    rare = ranked.withColumn("weight", before).filter((F.col("weight") >= least) & (F.col("often") > 0))
+    pairs = rare.join(theirs, "t").filter("item_pos <> other").select("item_pos", "other").distinct()
+    counted = pairs.join(mine, "item_pos").join(theirs, ["t", "other"]).groupBy("item_pos", "other").agg(F.sum("c").alias("shared"))
+    return counted.groupBy("item_pos").agg(F.max("shared").alias("shared")).filter(F.col("shared") >= least)
+
+
 def training_pool(pool: DataFrame, evaluation: DataFrame, options: DataFrame, eval_options: DataFrame, most: int = 3) -> DataFrame:
     """``pool`` (item_pos, bank, question) with the reason an item is dropped (null: kept):
     evaluation bank, known question, too many shared options, repeated question."""
     key = T.norm_lower(F.col("question"))
     banks = evaluation.select("bank").distinct().withColumn("in_bank", F.lit(True))
     known = evaluation.select(key.alias("key")).distinct().withColumn("in_eval", F.lit(True))
-    rows = pool.withColumn("key", key).join(banks, "bank", "left").join(known, "key", "left").join(overlaps(options, eval_options), "item_pos", "left")
+    rows = pool.withColumn("key", key).join(banks, "bank", "left").join(known, "key", "left").join(overlapping(options, eval_options, most), "item_pos", "left")
     rows = rows.withColumn("why", F.when(F.col("in_bank"), "bank").when(F.col("in_eval"), "question").when(F.col("shared") >= most, "overlap"))
     first = F.row_number().over(Window.partitionBy("key", F.col("why").isNull()).orderBy("item_pos"))
-    kept_before = F.min(F.when(F.col("why").isNull(), F.col("item_pos"))).over(Window.partitionBy("key"))
-    return rows.withColumn("first", first).withColumn("why", F.when(F.col("why").isNull() & (F.col("first") > 1), "repeat").otherwise(F.col("why"))).withColumn("kept_before", kept_before).select("item_pos", "bank", "question", "why")
+    return rows.withColumn("first", first).withColumn("why", F.when(F.col("why").isNull() & (F.col("first") > 1), "repeat").otherwise(F.col("why"))).select("item_pos", "bank", "question", "why")
 
 
 def prefix_match(sample: DataFrame, archive: DataFrame, head_chars: int = 60, key_chars: int = 80) -> DataFrame:
     """(item_pos, archive_pos): for each sampled item the first archive record of its bank
-    and answer whose text starts with the question's head.
+    and answer whose text starts with the question's head; an empty head matches none.
 
     Heads shorter than the limit are rare, so records are joined on (bank, answer, head
     at each length that occurs), an equality, rather than on a prefix test.
     """
     head = F.substring(T.norm_lower(F.col("question")), 1, head_chars)
-    left = sample.select("item_pos", "bank", "answer", head.alias("head"))
+    left = sample.select("item_pos", "bank", "answer", head.alias("head")).filter("head <> ''")
     lengths = sorted(r[0] for r in left.select(F.length("head")).distinct().collect())
     key = F.substring(T.norm_lower(F.col("data")), 1, key_chars)
     right = archive.select(F.col("pos").alias("archive_pos"), "bank", "answer", key.alias("key"))
@@ -62,13 +82,15 @@ def prefix_match(sample: DataFrame, archive: DataFrame, head_chars: int = 60, ke
 
 
 def alignment_key(answer: Column, text: Column) -> Column:
-    return F.concat_ws("|", F.coalesce(answer, F.lit("?")), F.array_join(T.numbers(text), ","))
+    """Answer, and the first eight numbers of the NFKC text."""
+    return F.concat_ws("|", F.coalesce(answer, F.lit("?")), F.array_join(T.numbers(T.nfkc(text)), ","))
 
 
 def align_sequences(left: DataFrame, right: DataFrame) -> DataFrame:
     """(bank, left_pos, right_pos) of matching blocks of two keyed sequences (bank, pos,
     key) per bank: longest block first, then either side of it, which is not a longest
-    common subsequence. One bank is one task."""
+    common subsequence. One bank is one task, and time grows with the square of a bank's
+    longest run of items that share a key: for banks of some 10,000 items."""
 
     def blocks(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("pos"), b.sort_values("pos")
@@ -80,6 +102,22 @@ def align_sequences(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.groupBy("bank").cogroup(right.groupBy("bank")).applyInPandas(blocks, "bank string, left_pos long, right_pos long")
 
 
+def aligned_items(sample: DataFrame, found: DataFrame, mapping: DataFrame, blocks: DataFrame, excluded: tuple[int, ...] = ()) -> DataFrame:
+    """(sample_index, bank, question, options, answer, excluded) of the sampled items
+    (item_pos, bank, answer) whose archive record (``found``: item_pos, archive_pos) maps to
+    a block (``mapping``: bank, left_pos, right_pos; ``blocks``: bank, pos, text, answer)
+    with the same answer that ends in one A-E run."""
+    zh = blocks.select("bank", F.col("pos").alias("right_pos"), "text", F.col("answer").alias("block_answer"))
+    rows = sample.select("item_pos", "bank", "answer").join(found, "item_pos").join(mapping.withColumnRenamed("left_pos", "archive_pos"), ["bank", "archive_pos"])
+    rows = rows.join(zh, ["bank", "right_pos"]).filter(F.col("block_answer") == F.col("answer"))
+    parsed = rows.withColumn("clean", T.nfkc(F.col("text"))).withColumn("x", parse_last_run(F.col("clean"))).filter("x is not null")
+    return parsed.select(F.col("item_pos").alias("sample_index"), "bank", "x.question", "x.options", "answer", F.col("item_pos").isin(*excluded).alias("excluded"))
+
+
+def drop_excluded(aligned: DataFrame) -> DataFrame:
+    return aligned.filter("not excluded").drop("excluded")
+
+
 def best_candidate(sizes: DataFrame) -> DataFrame:
     """Of (bank, path, order, n) the path with the largest n; of equals the first."""
     return sizes.groupBy("bank").agg(F.max_by("path", F.struct(F.col("n"), -F.col("order"))).alias("path"), F.max("n").alias("n"))

@@ -69,9 +69,9 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
 
 def most_common(df: DataFrame, column: str) -> DataFrame:
-    """Histogram with ranks: by count, of equals the one seen first."""
+    """Histogram with ranks: by count, of equals the one seen first, then the lesser value."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"), F.min("item_pos").alias("p"))
-    return counts.select(column, "n", F.row_number().over(Window.orderBy(F.desc("n"), "p")).alias("rank"))
+    return counts.select(column, "n", F.row_number().over(Window.orderBy(F.desc("n"), "p", F.col(column).asc_nulls_first())).alias("rank"))
 
 
 def pivot_accuracy(df: DataFrame, conditions: list[str]) -> DataFrame:
@@ -95,11 +95,20 @@ def with_group_size(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("group_size", size).withColumn("case_group", F.when(size > 1, F.col(key)))
 
 
-def running_accuracy(df: DataFrame, every: int) -> DataFrame:
-    """Accuracy so far within each (model, condition), at every so many rows."""
-    w = Window.partitionBy("model", "condition").orderBy("item_pos")
-    out = df.select("model", "condition", F.row_number().over(w).alias("seen"), F.sum(correct().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("right"))
-    return out.filter(F.col("seen") % every == 0)
+def running_accuracy(df: DataFrame, every: int, width: int = 1 << 16) -> DataFrame:
+    """Accuracy so far within each (model, condition), at every so many rows.
+
+    Rows are counted within stretches of ``width`` positions; what lies before a stretch
+    comes from the small table of their sums, so no task sees a whole run.
+    """
+    keys = ["model", "condition"]
+    rows = df.select(*keys, "item_pos", correct().cast("int").alias("ok"), F.floor(F.col("item_pos") / width).alias("stretch"))
+    sums = rows.groupBy(*keys, "stretch").agg(F.count("*").alias("n"), F.sum("ok").alias("k"))
+    before = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"))
+    w = Window.partitionBy(*keys, "stretch").orderBy("item_pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumns({"n1": F.count("*").over(w), "k1": F.sum("ok").over(w)}).join(starts, [*keys, "stretch"])
+    return inside.select(*keys, (F.col("n0") + F.col("n1")).alias("seen"), (F.col("k0") + F.col("k1")).alias("right")).filter(F.col("seen") % every == 0)
 
 
 def first_per_group(df: DataFrame, key: str, n: int, order: str = "item_pos") -> DataFrame:
@@ -134,3 +143,48 @@ def conditional_accuracy(pairs: DataFrame) -> DataFrame:
 def violations(pairs: DataFrame) -> DataFrame:
     """Pairs whose gold letter or bank differ: must be none."""
     return pairs.agg(F.count_if(~F.col("a_gold").eqNullSafe(F.col("b_gold"))).alias("gold"), F.count_if(~F.col("a_bank").eqNullSafe(F.col("b_bank"))).alias("bank"))
+
+
+def accept_reject(df: DataFrame, *keys: str) -> DataFrame:
+    """Right and wrong answers of each group, in one pass; a side may be empty."""
+    return df.groupBy(*keys).agg(F.count_if(correct()).alias("accepted"), F.count_if(~correct()).alias("rejected"))
+
+
+def by_index(left: DataFrame, right: DataFrame, ahead: int) -> DataFrame:
+    """(item_pos, other, same): each item beside the one ``ahead`` positions on."""
+    theirs = right.select((F.col("item_pos") - ahead).alias("item_pos"), F.col("item_pos").alias("other"), F.col("answer").alias("theirs"))
+    return left.select("item_pos", "answer").join(theirs, "item_pos").select("item_pos", "other", (F.col("answer") == F.col("theirs")).alias("same"))
+
+
+def run_groups(df: DataFrame, left: str, right: str) -> DataFrame:
+    """(condition, n0, n1): the conditions that two models share, with their rows."""
+    n = df.groupBy("condition").agg(F.count_if(F.col("model") == left).alias("n0"), F.count_if(F.col("model") == right).alias("n1"))
+    return n.filter("n0 > 0 and n1 > 0")
+
+
+def without_positions(df: DataFrame, excluded: tuple[int, ...]) -> DataFrame:
+    return df.filter(~F.col("item_pos").isin(*excluded))
+
+
+def with_file(df: DataFrame, files: dict[str, str]) -> DataFrame:
+    """Rows of known banks with the bank's file."""
+    entries = F.create_map(*(F.lit(x) for pair in files.items() for x in pair))
+    return df.withColumn("file", F.try_element_at(entries, F.col("bank"))).filter("file is not null")
+
+
+def second_pass(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The right answers of a first pass with the picks that a second one could read."""
+    right = first.filter(correct()).select("item_pos", "model")
+    return right.join(second.filter("pick is not null").select("item_pos", "model", F.col("pick").alias("second")), ["item_pos", "model"], "left")
+
+
+def ordered_shares(df: DataFrame, key: str) -> DataFrame:
+    """Groups by share of right answers, highest first, of equals by name, with places."""
+    rows = shares(df, key, correct()).select(key, "share")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("share"), key)))
+
+
+def argmax(scored: DataFrame) -> DataFrame:
+    """(item_pos, pick): of (item_pos, letter, letter_idx, score) the letter of the highest
+    score; of equals the first."""
+    return scored.groupBy("item_pos").agg(F.max_by("letter", F.struct(F.col("score"), -F.col("letter_idx"))).alias("pick"))

@@ -4,12 +4,13 @@ circuit breaker. A failed call is never scored as a wrong answer."""
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 
@@ -37,6 +38,62 @@ def local_endpoint(model: str, url: str, system: str = "", timeout: float = 180)
     return make
 
 
+def request_body(model: str, system: str, prompt: Column) -> Column:
+    """The JSON that a hosted chat endpoint takes."""
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.to_json(F.struct(F.lit(model).alias("model"), F.array(message("system", F.lit(system)), message("user", prompt)).alias("messages"), F.lit(2000).alias("max_tokens"), F.lit(0).alias("temperature")))
+
+
+def hosted_endpoint(model: str, url: str, system: str = "", key_variable: str = "CHAT_API_KEY", timeout: float = 180) -> Callable[[], Ask]:
+    """A factory of callables for a hosted chat endpoint; its key comes from the
+    environment of the machine that calls, and is never part of a plan."""
+
+    def make() -> Ask:
+        headers = {"Content-Type": "application/json"}
+        if os.environ.get(key_variable):
+            headers["Authorization"] = f"Bearer {os.environ[key_variable]}"
+
+        def ask(prompt: str) -> str:
+            body = {"model": model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}], "max_tokens": 2000, "temperature": 0}
+            with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as r:
+                return json.load(r)["choices"][0]["message"]["content"] or ""
+
+        return ask
+
+    return make
+
+
+def endpoint(model: str, local_url: str, hosted_url: str, **options) -> Callable[[], Ask]:
+    """By name: a colon means a local model."""
+    return local_endpoint(model, local_url, **options) if is_local(model) else hosted_endpoint(model, hosted_url, **options)
+
+
+def routes(models: DataFrame) -> DataFrame:
+    """(model, local) of each model, as ``endpoint`` sends them."""
+    return models.select("model", F.contains("model", F.lit(":")).alias("local")).distinct()
+
+
+def flaky(make: Callable[[], Ask], fails: Callable[[str, int], bool]) -> Callable[[], Ask]:
+    """A scorer that fails where ``fails`` (prompt, attempt from 1) says so, for tests."""
+
+    def wrapped() -> Ask:
+        ask, calls = make(), {}
+
+        def call(prompt: str) -> str:
+            calls[prompt] = calls.get(prompt, 0) + 1
+            if fails(prompt, calls[prompt]):
+                raise ValueError("down")
+            return ask(prompt)
+
+        return call
+
+    return wrapped
+
+
+class Stopped(RuntimeError):
+    """A circuit breaker opened: nothing more is asked, and no result is reported."""
+
+
 def stub(seed: int = 0) -> Callable[[], Ask]:
     """Deterministic replies, for tests and dry runs."""
 
@@ -60,16 +117,16 @@ def with_retry(ask: Ask, prompt: str, sleep: Callable[[float], None] = time.slee
     raise AssertionError
 
 
-def score(prompts: DataFrame, make: Callable[[], Ask], pause: float = 0.0, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+def score(prompts: DataFrame, make: Callable[[], Ask], pause: float = 0.0, wait: Callable[[float], None] = time.sleep, most: int = MOST_FAILURES) -> DataFrame:
     """(item_pos, reply, error) of prompts (item_pos, prompt). One client per partition;
-    after five failures in a row a partition's remaining rows fail without a call."""
+    after ``most`` failures in a row a partition's remaining rows fail without a call."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask, failures = make(), 0
         for batch in batches:
             out = []
             for pos, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if failures >= MOST_FAILURES:
+                if failures >= most:
                     out.append((pos, None, "stopped"))
                     continue
                 try:
@@ -86,14 +143,33 @@ def score(prompts: DataFrame, make: Callable[[], Ask], pause: float = 0.0, wait:
     return prompts.select(F.col("item_pos").cast("long"), "prompt").mapInArrow(run, "item_pos long, reply string, error string")
 
 
-def score_twice(prompts: DataFrame, make: Callable[[], Ask], path: str, **options) -> DataFrame | None:
-    """Scores, then scores what failed once more; None if rows still fail, so that an
-    incomplete run is never reported. ``path``: a folder for the first pass's table."""
+def score_in_batches(prompts: DataFrame, make: Callable[[], Ask], path: str, batches: int, **options) -> DataFrame:
+    """``score`` in so many jobs. Once a partition has stopped after five failures in a row,
+    the batches that follow are not asked at all: Stopped is raised."""
+    spark, done = prompts.sparkSession, None
+    for i in range(batches):
+        part = prompts.filter(F.pmod(F.xxhash64("item_pos"), F.lit(batches)) == i)
+        score(part, make, **options).write.mode("overwrite").parquet(f"{path}/batch{i}")
+        got = spark.read.parquet(f"{path}/batch{i}")
+        if not got.filter("error = 'stopped'").isEmpty():
+            raise Stopped(f"batch {i} of {batches}: five calls in a row failed")
+        done = got if done is None else done.union(got)
+    return done
+
+
+def scored_only(scored: DataFrame) -> DataFrame:
+    """(item_pos, pick) of calls that did not fail; a failed call is no wrong answer."""
+    return scored.filter("error is null").select("item_pos", T.extract_letter(F.col("reply")).alias("pick"))
+
+
+def score_twice(prompts: DataFrame, make: Callable[[], Ask], path: str, again: Callable[[], Ask] | None = None, **options) -> DataFrame | None:
+    """Scores, then scores what failed once more (by ``again``, if given); None if rows still
+    fail, so that an incomplete run is never reported. ``path``: a folder for the passes."""
     spark = prompts.sparkSession
     score(prompts, make, **options).write.mode("overwrite").parquet(f"{path}/first")
     first = spark.read.parquet(f"{path}/first")
     failed = prompts.join(first.filter("error is not null").select("item_pos"), "item_pos", "left_semi")
-    score(failed, make, **options).write.mode("overwrite").parquet(f"{path}/second")
+    score(failed, again or make, **options).write.mode("overwrite").parquet(f"{path}/second")
     both = first.filter("error is null").union(spark.read.parquet(f"{path}/second"))
     if not both.filter("error is not null").isEmpty():
         return None

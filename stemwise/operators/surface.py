@@ -26,6 +26,20 @@ def lift(options: DataFrame, flag: str) -> DataFrame:
     return rows.select(F.lit(flag).alias("flag"), "p_correct", "p_any", F.try_divide("p_correct", "p_any").alias("lift"))
 
 
+def lifts(options: DataFrame) -> DataFrame:
+    """``lift`` of all flags, from one pass."""
+    means = [F.avg(F.when(F.col("is_gold"), F.col(f).cast("int"))).alias(f"c_{f}") for f in T.FLAGS]
+    row = options.agg(*means, *(F.avg(F.col(f).cast("int")).alias(f"a_{f}") for f in T.FLAGS))
+    each = F.array(*(F.struct(F.lit(f).alias("flag"), F.col(f"c_{f}").alias("p_correct"), F.col(f"a_{f}").alias("p_any")) for f in T.FLAGS))
+    return row.select(F.inline(each)).select("flag", "p_correct", "p_any", F.try_divide("p_correct", "p_any").alias("lift"))
+
+
+def mean_lengths(options: DataFrame) -> DataFrame:
+    """Mean and population deviation (1 if zero) of the lengths of right and wrong options."""
+    n = F.length("text")
+    return options.groupBy("is_gold").agg(F.avg(n).alias("mean_len"), F.coalesce(F.nullif(F.stddev_pop(n), F.lit(0.0)), F.lit(1.0)).alias("sd"))
+
+
 def dense_features(options: DataFrame) -> DataFrame:
     """The 16 features of each option, relative to its item.
 

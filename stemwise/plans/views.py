@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
@@ -36,28 +39,50 @@ ANSWERS = """answers as (
   from (select event_id as e, event_type as t, regexp_extract(props, '([0-9]+)', 1)::int as k from events))"""
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first six sentences of a document: a question and five options."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    parts = F.filter(F.split("text", r"\. "), lambda x: F.trim(x) != "")
-    rows = d.withColumn("p", parts).filter(F.size("p") >= 6)
-    options = F.create_map(*(x for i, letter in enumerate(T.LETTERS, 1) for x in (F.lit(letter), F.get("p", F.lit(i)))))
-    return rows.select(F.col("doc_id").alias("item_pos"), F.col("source").alias("bank"), "lang", F.col("p")[0].alias("question"), options.alias("options"), T.letter_at(F.col("doc_id") % 5).alias("answer"))
+def items(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """Every six sentences of a document (or benchmark passage): a question and five options.
 
+    The last item's option E takes what is left. A text of under six sentences is one
+    item, with empty text for what it lacks; null text counts as empty.
+    """
+    if name == "documents":
+        d = table(spark, sf_dir, name).select("doc_id", "source", "lang", "text")
+    else:
+        d = table(spark, sf_dir, name).select(F.col("item_id").alias("doc_id"), F.lit("src1").alias("source"), F.lit("en").alias("lang"), "text")
+    d = d.withColumn("p", F.filter(F.split(F.coalesce("text", F.lit("")), r"\. "), lambda x: F.trim(x) != ""))
+    d = d.withColumn("last", F.greatest(F.floor(F.size("p") / 6), F.lit(1)) - 1)
+    rows = d.select("doc_id", "source", "lang", "p", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("k"))
+    part = lambda i: F.coalesce(F.get("p", (6 * F.col("k") + i).cast("int")), F.lit(""))
+    rest = F.array_join(F.slice("p", (6 * F.col("k") + 6).cast("int"), F.greatest(F.size("p"), F.lit(1))), ". ")
+    options = F.create_map(*(x for i, letter in enumerate("ABCD", 1) for x in (F.lit(letter), part(i))), F.lit("E"), F.when(F.col("k") == F.col("last"), rest).otherwise(part(5)))
+    return rows.select((F.col("doc_id") * 1_000_000 + F.col("k")).alias("item_pos"), F.col("source").alias("bank"), "lang", part(0).alias("question"), options.alias("options"), T.letter_at((F.col("doc_id") + F.col("k")) % 5).alias("answer"))
 
-def options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_long(items(spark, sf_dir))
 
+def options(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return to_long(items(spark, sf_dir, name))
 
-ITEMS = """items as (
-  select doc_id as item_pos, source as bank, lang, p[1] as question, p[2:6] as opts, substr('ABCDE', (doc_id % 5 + 1)::int, 1) as answer
-  from (select doc_id, source, lang, list_filter(string_split(text, '. '), lambda x: trim(x) <> '') as p from documents) where len(p) >= 6)"""
-OPTIONS = (
-    ITEMS
-    + """, options as (
+
+def _items_sql(name: str, source: str) -> str:
+    return f"""{name}_p as (select *, greatest(1, len(p) // 6) - 1 as last from (
+    select {source}, list_filter(string_split(coalesce(text, ''), '. '), lambda x: trim(x) <> '') as p from {'documents' if name == 'items' else 'benchmark'})),
+  {name} as (
+  select doc_id * 1000000 + k as item_pos, source as bank, lang, coalesce(p[6 * k + 1], '') as question,
+    [coalesce(p[6 * k + 2], ''), coalesce(p[6 * k + 3], ''), coalesce(p[6 * k + 4], ''), coalesce(p[6 * k + 5], ''),
+     coalesce(case when k = last then array_to_string(p[6 * k + 6:], '. ') else p[6 * k + 6] end, '')] as opts,
+    substr('ABCDE', ((doc_id + k) % 5 + 1)::int, 1) as answer
+  from (select *, unnest(range(last + 1)) as k from {name}_p))"""
+
+
+def _options_sql(name: str, rows: str) -> str:
+    return f""", {name} as (
   select item_pos, bank, lang, substr('ABCDE', i, 1) as letter, i - 1 as letter_idx, opts[i] as text, substr('ABCDE', i, 1) = answer as is_gold
-  from items, (select unnest([1, 2, 3, 4, 5]) as i))"""
-)
+  from {rows}, (select unnest([1, 2, 3, 4, 5]) as i))"""
+
+
+ITEMS = _items_sql("items", "doc_id, source, lang")
+EVAL_ITEMS = _items_sql("eval_items", "item_id as doc_id, 'src1' as source, 'en' as lang")
+OPTIONS = ITEMS + _options_sql("options", "items")
+EVAL_OPTIONS = EVAL_ITEMS + _options_sql("eval_options", "eval_items")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,3 +112,13 @@ RAW = (
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder where all machines of the session can write."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="stemwise-")
+    return f"{shared}/scratch-{uuid.uuid4().hex}"

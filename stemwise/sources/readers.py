@@ -19,11 +19,17 @@ RECORD = "archive string, file string, bank string, file_pos long, pos long, dat
 
 
 def zip_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All records of all banks (JSON files, nested folders too) in zip archives.
+    """All records of all banks (JSON files, nested folders too) in zip archives."""
+    return unzipped(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def unzipped(archives: DataFrame) -> DataFrame:
+    """The records of archives (path, content).
 
     Files that are not JSON are skipped; a dict of records counts as the list of its
     values; elements that are no objects are skipped; bytes that are not UTF-8 are
-    replaced. One task reads one archive, file by file.
+    replaced. One task reads one archive, file by file; an archive is one cell of 2 GB at
+    most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +47,13 @@ def zip_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
                         if rows:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True)], names=["archive", "file", "bank", "file_pos", "pos", "data", "label"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORD)
+    return archives.select("path", "content").mapInArrow(run, RECORD)
+
+
+def from_first_archive(records: DataFrame, bank: str) -> DataFrame:
+    """One bank of the first of all archives."""
+    first = records.agg(F.min("archive").alias("archive"))
+    return load_bank(records.join(F.broadcast(first), "archive", "left_semi"), bank)
 
 
 def load_bank(records: DataFrame, bank: str) -> DataFrame:
@@ -70,8 +82,10 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A JSON array of objects with each row's position; other elements are skipped."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "array<string>").alias("a"))
+    """A JSON array of objects with each row's position; other elements are skipped.
+    ``file`` is the file's name, or that of the folder of part files that stands for it."""
+    where = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:/part-[^/]*)?$", 1)
+    whole = spark.read.text(path, wholetext=True).select(where.alias("file"), F.from_json("value", "array<string>").alias("a"))
     rows = whole.select("file", F.posexplode("a").alias("item_pos", "json")).filter(F.col("json").startswith("{"))
     return rows.select("file", F.col("item_pos").cast("long").alias("item_pos"), F.from_json("json", schema).alias("r")).select("file", "item_pos", "r.*")
 

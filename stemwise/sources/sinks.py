@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .readers import exists
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """JSON arrays, one in each part file; a table in one partition is one array. Overwrites."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            out = []
+            for row in batch.column(0).to_pylist():
+                out.append(before + row)
+                before = ","
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def upserted(existing: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("model", "condition")) -> DataFrame:

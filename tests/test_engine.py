@@ -223,6 +223,129 @@ def test_overlap(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 3), (2, 3)]
 
 
+def test_tail_of_a_hundred_million(spark):
+    """Against the normal law with its skewness term (Edgeworth)."""
+    from math import erfc, exp, pi, sqrt
+
+    n, cases = 10**8, [20_000_001, 20_004_000, 20_010_000, 20_020_000]
+    got = {r.k: r.p for r in spark.createDataFrame([(k, n) for k in cases], "k long, n long").select("k", stats.binom_sf("k", "n").alias("p")).collect()}
+    for k in cases:
+        sd = sqrt(0.16 * n)
+        z, skew = (k - 0.5 - 0.2 * n) / sd, 0.6 / sd
+        want = 0.5 * erfc(z / sqrt(2)) + skew / 6 * (z * z - 1) * exp(-z * z / 2) / sqrt(2 * pi)
+        assert got[k] == pytest.approx(want, rel=2e-6)
+    mc = spark.createDataFrame([(49_990_000, 50_010_000), (0, 10**8)], "b long, c long").select(stats.mcnemar("b", "c").alias("p")).collect()
+    assert mc[0].p == pytest.approx(0.0455, rel=1e-3) and mc[1].p == 0.0
+
+
+def test_hosted_scorer(spark, monkeypatch):
+    """A stub server in this process stands for the endpoint."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["Authorization"], body))
+            out = json.dumps({"choices": [{"message": {"content": "B" if body["messages"][1]["content"] == "q" else None}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("SOME_KEY", "k1")
+    ask = scoring.endpoint("big-model", "http://unused", f"http://127.0.0.1:{server.server_port}/v1", system="s", key_variable="SOME_KEY")()
+    assert [ask("q"), ask("other")] == ["B", ""] and seen[0][0] == "Bearer k1"
+    text = spark.createDataFrame([("q",)], "p string").select(scoring.request_body("big-model", "s", F.col("p"))).first()[0]
+    assert json.loads(text) == seen[0][1]
+    server.shutdown()
+
+
+def test_breaker_stops_the_job(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(200)], "item_pos long, prompt string").coalesce(2)
+    down = scoring.flaky(scoring.stub(), lambda prompt, attempt: True)
+    with pytest.raises(scoring.Stopped):
+        scoring.score_in_batches(df, down, str(tmp_path / "a"), 3, wait=lambda s: None)
+    assert not (tmp_path / "a" / "batch1").exists()
+    assert scoring.score_in_batches(df, scoring.stub(), str(tmp_path / "b"), 3).filter("error is null").count() == 200
+
+
+def test_running_accuracy_over_stretches(spark):
+    rows = [("m", "c", i, "A", "A" if i % 3 else None) for i in range(250)]
+    df = spark.createDataFrame(rows, "model string, condition string, item_pos long, gold string, pick string")
+    want = [(n, sum(1 for i in range(n) if i % 3)) for n in range(20, 251, 20)]
+    for width in (7, 1 << 16):
+        assert sorted((r.seen, r.right) for r in R.running_accuracy(df, 20, width).collect()) == want
+
+
+def test_swap_ring(spark):
+    """Every item of a bank with two items or more has another item as donor, each once."""
+    rows = [(i, "a" if i < 300 else f"b{i % 2}" if i < 304 else "alone", x, j, f"{i}{x}", x == "C") for i in range(305) for j, x in enumerate("ABCDE")]
+    got = I.swap_donor(spark.createDataFrame(rows, "item_pos long, bank string, letter string, letter_idx int, text string, is_gold boolean"), 5).collect()
+    bank = {r[0]: r[1] for r in rows}
+    assert sorted(r.item_pos for r in got) == list(range(304)) == sorted(r.donor for r in got)
+    assert all(r.item_pos != r.donor and bank[r.item_pos] == bank[r.donor] and r.donor_text == f"{r.donor}{r.donor_letter}" for r in got)
+
+
+def test_overlapping_is_overlaps_from_three(spark):
+    import random
+
+    draw = random.Random(1)
+    make = lambda n, at: spark.createDataFrame([(at + i, draw.choice("abcdefghij")) for i in range(n) for _ in range(5)], "item_pos long, text string")
+    for least in (1, 2, 3, 5):
+        train, evaluation = make(40, 0).cache(), make(15, 1000).cache()
+        want = {(r.item_pos, r.shared) for r in matching.overlaps(train, evaluation).collect() if r.shared >= least}
+        assert {(r.item_pos, r.shared) for r in matching.overlapping(train, evaluation, least).collect()} == want
+
+
+def test_aligned_items(spark):
+    sample = spark.createDataFrame([(i, "b", "A") for i in range(5)], "item_pos long, bank string, answer string")
+    found = spark.createDataFrame([(i, 10 + i) for i in range(4)], "item_pos long, archive_pos long")
+    mapping = spark.createDataFrame([("b", 10, 0), ("b", 11, 1), ("b", 12, 2)], "bank string, left_pos long, right_pos long")
+    run = "题１ A. 一 B. 二 C. 三 D. 四 E. 五"
+    blocks = spark.createDataFrame([("b", 0, run, "A"), ("b", 1, run, "B"), ("b", 2, run, "A")], "bank string, pos long, text string, answer string")
+    got = matching.aligned_items(sample, found, mapping, blocks, (2,)).orderBy("sample_index").collect()
+    assert [(r.sample_index, r.question, r.options["E"], r.excluded) for r in got] == [(0, "题1", "五", False), (2, "题1", "五", True)]
+    key = spark.createDataFrame([("A", "１２ and ３.５")], "a string, t string").select(matching.alignment_key(F.col("a"), F.col("t"))).first()[0]
+    assert key == "A|12,3.5"
+
+
+def test_choice_of_c():
+    from stemwise.operators import classifier
+
+    assert classifier.best_of([(0.1, 0.4), (1.0, 0.5), (10.0, 0.5)]) == 1.0 and classifier.best_of([(0.1, 0.0)]) == 0.1
+
+
+def test_json_arrays(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 4 else f"x\n{i}") for i in range(20)], "bank string, gold string").repartition(3)
+    sinks.write_json(df, str(tmp_path / "t.json"))
+    got = readers.json_table(spark, str(tmp_path / "t.json"), schemas.RESULT).select("bank", "gold")
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect())) and {r.file for r in readers.json_table(spark, str(tmp_path / "t.json"), schemas.RESULT).collect()} == {"t.json"}
+    sinks.write_json(df.coalesce(1), str(tmp_path / "one.json"))
+    files = list((tmp_path / "one.json").glob("part-*"))
+    assert len(files) == 1 and len(json.loads(files[0].read_text())) == 20
+
+
+def test_windowed_accuracy(spark, tmp_path):
+    """Late answers within the watermark count in their window."""
+    from stemwise.streaming import upsert
+
+    rows = [("2026-01-01 00:10:00", "m", "A", "A"), ("2026-01-01 01:10:00", "m", "A", "B"), ("2026-01-01 00:50:00", "m", "A", None), ("2026-01-01 09:00:00", "m", "A", "A")]
+    df = spark.createDataFrame(rows, "t string, model string, gold string, pick string").withColumn("t", F.to_timestamp("t"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = upsert.windowed_accuracy(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "t")
+    q = stream.writeStream.format("memory").queryName("windowed").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.window.start.hour, r.k, r.n) for r in spark.table("windowed").collect())
+    assert got == [(0, 1, 2), (1, 0, 1), (9, 1, 1)]
+
+
 def test_entry_survives_without_the_training_subpackage(tmp_path):
     import shutil
     import subprocess
