@@ -35,6 +35,8 @@ from .common import cut, fresh
 BITS = 64
 #: Plans tried one after the other; signatures a task compares; hot keys that are broadcast (8 bytes each).
 LEVELS, SIGNED, MOST_KEYS = 4, 2_000_000, 1_000_000
+#: Edges (16 bytes each) that one task joins up.
+FEW = 200_000
 #: Shingles hashed at once.
 BLOCK = 1 << 16
 
@@ -225,13 +227,23 @@ def all_links(prints: DataFrame, distance: int, hot: int, levels: int = LEVELS)
     return found
 
 
+def _whole_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        node, root = forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of ``edges`` (a, b): root is the least node reachable.
 
-    Alternates large and small stars; each round is a grouped minimum and a join, and
-    is cut, so that neither a hot node nor a lost executor matters.
+    Up to FEW edges are joined up in one task. Beyond, large and small stars alternate;
+    each round is a grouped minimum and a join, and is cut, so that neither a hot node nor
+    a lost executor matters.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    if edges.count() <= FEW:
+        return cut(edges.repartition(1).mapInArrow(_whole_forest, "node long, root long"))
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))

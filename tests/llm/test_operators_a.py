@@ -232,6 +232,16 @@ def test_simhash_hot_signatures(spark):
         assert groups(lambda x: roots.get(x, x)) == groups(want.get)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, monkeypatch, few):
+    """Chains, stars and cycles, with negative names, in one task and by stars."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 9)] + [(-5, -9), (-9, -7), (-7, -5), (300, 300)]
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = {i: 0 for i in range(1, 21)} | {100 + i: 100 for i in range(1, 9)} | {-5: -9, -7: -9}
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+
+
 def test_hot_signatures_are_dealt_into_blocks(spark):
     """No pair of a hot key's members is lost, and no group stays large."""
     signed = spark.range(1000).selectExpr("id % 2 as key", "id as fp")
