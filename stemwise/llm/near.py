@@ -40,7 +40,7 @@ from .simhash import all_links, components, majority, shingle_hashes
 #: One text of so many is sampled; a shingle in so many of them is common; so many at most.
 SAMPLE, COMMON, MOST = 8, 8, 100_000
 #: Keys of a prefix; keys packed at once; cells of the parities at least; rows that are broadcast.
-KEY, HELD, CELLS, FEW = np.uint64(2**48 - 1), 1_000_000, 1024, 300_000
+KEY, HELD, CELLS, FEW = np.uint64(2**48 - 1), 500_000, 1024, 300_000
 #: Shingles of the texts that one task compares with one another.
 TOGETHER = 4_000_000
 

@@ -45,7 +45,7 @@ from .common import cut, fresh
 
 GRAM = 16
 #: Bytes of text that are worked on at once, and of a block of a longer text.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Rows in a batch that Python hands on.
 ROWS = 200_000
 #: Windows of a known run.
