@@ -7,9 +7,10 @@ Two texts are linked if their sets of shingles (XXH64 of so many words, see
 1. ``simhash.all_links``: fingerprints with at most four differing bits.
 2. Prefixes: sets are put in one order of all shingles; two linked ones share a shingle
    among their first n - ceil(0.8 n) + 1 each, so only these are joined. First neighbours
-   in each group of texts with a shared shingle,
-3. then, of texts that have not been linked yet, all pairs of a group; so a large group
-   of near copies costs no pairs.
+   in each group of texts with a shared shingle, in TURNS orders,
+3. then, of texts that have not been linked yet, all pairs of a group. In large groups the
+   parities are compared before a pair leaves the task, so that a group of near copies hands
+   on few pairs; the comparisons of its unlinked texts still grow with their square.
 
 Every candidate passes two tests: parities of the shingles in as many cells or more, which
 differ in no more cells than the sets differ in shingles and so drop no link, and then
@@ -43,6 +44,11 @@ SAMPLE, COMMON, MOST = 8, 8, 100_000
 KEY, HELD, CELLS, FEW = np.uint64(2**48 - 1), 500_000, 1024, 300_000
 #: Shingles of the texts that one task compares with one another.
 TOGETHER = 4_000_000
+#: Rounds of neighbours, and neighbours of a text in each; texts of a group from which on
+#: parities are compared before pairs are made; longs of the parities that travel for that.
+TURNS, NEIGHBOURS, LARGE, CARRIED = 2, 4, 64, 64
+#: Pairs, times longs of parities, that are compared at once.
+AT_ONCE = 1 << 20
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -92,20 +98,54 @@ def in_order(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.n
     return np.concatenate([shingles[~known], shingles[known][np.argsort(rank[at[known]])]])
 
 
-def sampled(rows: DataFrame, words: int) -> DataFrame:
-    """(shingle, n) of the shingles in more than one different sampled text of a task."""
+def sampled(rows: DataFrame, words: int, buckets: int) -> DataFrame:
+    """(shingle, n) of the shingles in COMMON sampled texts and more, one text of a task's
+    equal ones. All sampled shingles are counted, packed: those of a group that is dealt
+    over many tasks may be in no task twice."""
+    names = ["bucket", "key", "n"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, parts, held = set(), [], 0
+
+        def counts() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(parts), return_counts=True)
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            first = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            own = [(i, order[x:y]) for i, (x, y) in enumerate(zip(first[:-1], first[1:], strict=True)) if x < y]
+            columns = [pa.array([i for i, _ in own], pa.int64()), pa.array([pack_keys(key[m]) for _, m in own], pa.binary()), pa.array([packed(n[m]) for _, m in own], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = {}
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()):
                 s = shingle_set(t.as_py(), words)
-                sample[name_of(s)] = s
-        if sample:
-            found, n = np.unique(np.concatenate([*sample.values()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["shingle", "n"])
+                if not len(s) or (node := name_of(s)) in seen:
+                    continue
+                seen.add(node)
+                parts.append(s)
+                held += len(s)
+                if held > HELD:
+                    yield counts()
+                    parts, held = [], 0
+        if parts:
+            yield counts()
 
-    return rows.filter(F.pmod(F.xxhash64("__text"), F.lit(SAMPLE)) == 0).select("__text").mapInArrow(run, "shingle long, n long")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, list] = {}
+        for batch in batches:
+            for bucket, *own in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                by_bucket.setdefault(bucket, []).append([unpack_keys(own[0].as_buffer()), unpacked(own[1].as_buffer())])
+        for parts in by_bucket.values():
+            key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, n = key[first], np.add.reduceat(n, first)
+            yield pa.RecordBatch.from_arrays([pa.array(key[n >= COMMON].view(np.int64)), pa.array(n[n >= COMMON], pa.int64())], names=["shingle", "n"])
+
+    chosen = rows.filter(F.pmod(F.xxhash64("__text"), F.lit(SAMPLE)) == 0).select("__text")
+    return chosen.mapInArrow(count, "bucket long, key binary, n binary").repartition("bucket").mapInArrow(add, "shingle long, n long")
 
 
 def sketched(rows: DataFrame, words: int, buckets: int, common: np.ndarray, rank: np.ndarray) -> DataFrame:
@@ -184,20 +224,58 @@ def shared(blobs: DataFrame) -> DataFrame:
     return blobs.select("bucket", "key", "owner", "place").repartition("bucket").mapInArrow(run, "key long, number long, n int, at int")
 
 
-def candidates(groups: DataFrame, neighbours: bool) -> DataFrame:
+def mixed(x: np.ndarray, turn: int) -> np.ndarray:
+    """Another order of the numbers ``x`` for each turn."""
+    x = (x.view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def odd_cells(cells: np.ndarray, start: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many cells the parities of the rows x and y differ, both folded to the fewer
+    cells; 0 if one has none. Row i has cells[start[i]:][:width[i]]."""
+    out, least = np.zeros(len(x), np.int64), np.minimum(width[x], width[y])
+
+    def of(rows: np.ndarray, w: int) -> np.ndarray:
+        got = cells[start[rows][:, None] + np.arange(w)]
+        for k in range(w, int(width[rows].max()), w):
+            more = np.flatnonzero(width[rows] > k)
+            got[more] ^= cells[start[rows[more]][:, None] + np.arange(k, k + w)]
+        return got
+
+    for w in np.unique(least[least > 0]).tolist():
+        own = np.flatnonzero(least == w)
+        for i in range(0, len(own), AT_ONCE // w):
+            m = own[i : i + AT_ONCE // w]
+            out[m] = np.bitwise_count(of(x[m], w) ^ of(y[m], w)).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def candidates(groups: DataFrame, turn: int | None) -> DataFrame:
     """(a, b), a < b: pairs of nodes with a common key and different labels that sizes and
-    places let be similar; of each group only the neighbours, or all."""
+    places (and parities, if ``groups`` has cells) let be similar; of each group only
+    neighbours in the order of the ``turn``, or all if there is none."""
+    held_cells = ["cells"] if "cells" in groups.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(c.to_numpy() for c in b.columns) for b in batches]
+        parts, flat, widths = [], [], []
+        for b in batches:
+            parts.append(tuple(c.to_numpy() for c in b.columns[:5]))
+            if held_cells:
+                flat.append(b.column(5).flatten().to_numpy().view(np.uint64))
+                widths.append(b.column(5).value_lengths().fill_null(0).to_numpy().astype(np.int64))
         if not parts:
             return
         key, node, n, at, label = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.lexsort((node, label, key))
+        order = np.lexsort((node, label, key) if turn is None else (mixed(node, turn), key))
         once = np.r_[True, (key[order][1:] != key[order][:-1]) | (node[order][1:] != node[order][:-1])]
         order = order[once]
         key, node, label, n, at = key[order], node[order], label[order], n[order].astype(np.int64), at[order].astype(np.int64)
+        if held_cells:
+            cells, width = np.concatenate(flat), np.concatenate(widths)
+            start, width = (np.cumsum(width) - width)[order], width[order]
+            flat.clear()
         new = np.r_[True, key[1:] != key[:-1]]
         ends = lambda starts: np.repeat(np.r_[starts[1:], len(key)], np.diff(np.r_[starts, len(key)]))
         end = ends(np.flatnonzero(new))
@@ -208,23 +286,37 @@ def candidates(groups: DataFrame, neighbours: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(low)), pa.array(np.ascontiguousarray(high))], names=["a", "b"])
 
         x, step, found, held = np.arange(len(key)), 0, [], 0
-        while len(x := x[other[x] + step < end[x]]):
+        while (turn is None or step < NEIGHBOURS) and len(x := x[other[x] + step < end[x]]):
             y = other[x] + step
             most = np.minimum(n[x] - at[x], n[y] - at[y])
-            good = 9 * most >= 4 * (n[x] + n[y])
-            u, v = node[x[good]], node[y[good]]
+            good = np.flatnonzero((9 * most >= 4 * (n[x] + n[y])) & (label[x] != label[y]))
+            u, v = x[good], y[good]
+            if held_cells:
+                good = 9 * odd_cells(cells, start, width, u, v) <= n[u] + n[v]
+                u, v = u[good], v[good]
+            u, v = node[u], node[v]
             found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
             held += len(u)
             if held > 1_000_000:
                 yield batch(found)
                 found, held = [], 0
             step += 1
-            if neighbours:
-                break
         if held:
             yield batch(found)
 
-    return groups.select("key", "node", "n", "at", "label").repartition("key").mapInArrow(run, "a long, b long").distinct()
+    return groups.select("key", "node", "n", "at", "label", *held_cells).repartition("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def all_candidates(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``candidates`` without a turn. In groups of LARGE texts and more parities are compared
+    first, so that pairs are made of such as pass only; a text's parities go with its rows
+    there, if they are of CARRIED longs at most."""
+    sizes = groups.groupBy("key").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("open")).filter("open")
+    sized = cut(groups.join(sizes.drop("open"), "key"))
+    few, many = sized.filter(F.col("size") < LARGE), sized.filter(F.col("size") >= LARGE)
+    wanted = cut(many.select("node").distinct())
+    cells = cut(nodes.filter(F.size("cells") <= CARRIED).join(broadcast_if_few(wanted), "node", "left_semi").select("node", "cells"))
+    return candidates(few, None).union(candidates(many.join(cells, "node", "left"), None)).distinct()
 
 
 def broadcast_if_few(df: DataFrame) -> DataFrame:
@@ -324,11 +416,11 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", words
     keyed = rows.select(F.col(at[id_column]).alias("__k"), "__hash", F.col(at[text]).alias("__text"))
     place = F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("h").alias("h"))
 
-    often = sampled(keyed, words).groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = sampled(keyed, words, buckets)
     often = sorted((r.n, r.shingle) for r in often.orderBy(F.desc("n"), "shingle").limit(MOST).collect())
     common = np.array([x for _, x in often], np.int64).view(np.uint64)
     rank = np.argsort(common)
-    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = cut(sketched(keyed, words, buckets, common[rank], rank))
     sets = both.filter("node is not null").select("k", "h", "node", "fp", "n", "cells")
     numbers = cut(both.filter("number is not null").select("number", "node"))
@@ -337,9 +429,10 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", words
 
     tried = cut(by_bits(nodes))
     links = cut(verified(tried, nodes, keyed, words))
-    for neighbours in (True, False):
+    for turn in (*range(TURNS), None):
         labelled = groups.join(broadcast_if_few(components(links)), "node", "left").withColumn("label", F.coalesce("root", "node"))
-        pairs = cut(candidates(labelled, neighbours).join(tried, ["a", "b"], "left_anti"))
+        found = all_candidates(labelled, nodes) if turn is None else candidates(labelled, turn)
+        pairs = cut(found.join(tried, ["a", "b"], "left_anti"))
         tried = tried.union(pairs)
         links = cut(links.union(verified(pairs, nodes, keyed, words)))
 

@@ -93,3 +93,57 @@ def test_recall_by_similarity(spark):
     assert kept(spark, texts) == list(range(0, 240, 2))
     prints = [near.majority(near.shingle_hashes(t.encode(), 5)) for t in texts[200:]]
     assert sum((a ^ b).bit_count() <= 4 for a, b in zip(prints[::2], prints[1::2])) < 5
+
+
+def variants(many, n=150, seed=3):
+    """Copies of one text, each with scattered words new: up to a quarter of the shingles."""
+    rng = np.random.default_rng(seed)
+    said = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    out = []
+    for i in range(many):
+        copy = list(said)
+        for at in rng.integers(0, n, rng.integers(1, 9)):
+            copy[at] = f"new{i}x{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_a_large_group_makes_few_pairs(spark, monkeypatch):
+    texts, made_pairs, verified = variants(500), [], near.verified
+    monkeypatch.setattr(near, "verified", lambda pairs, *rest: made_pairs.append(pairs.count()) or verified(pairs, *rest))
+    want = brute(enumerate(texts))
+    assert kept(spark, texts) == want and 10 < len(want) < 490
+    assert sum(made_pairs) < 20 * len(texts)  # of 124,750
+
+
+@pytest.mark.parametrize("carried", [near.CARRIED, 0])
+def test_all_pairs_without_turns(spark, monkeypatch, carried):
+    monkeypatch.setattr(near, "TURNS", 0)
+    monkeypatch.setattr(near, "LARGE", 4)
+    monkeypatch.setattr(near, "CARRIED", carried)
+    texts = variants(80) + variants(20, 1500, 4) + variants(20, 3, 5)
+    assert kept(spark, texts) == brute(enumerate(texts))
+
+
+def test_odd_cells(monkeypatch):
+    monkeypatch.setattr(near, "AT_ONCE", 100)
+    rng = np.random.default_rng(5)
+    both = rng.integers(0, 2**64, 900, np.uint64)
+    sets = [np.unique(np.r_[both[: rng.integers(500, 900)], rng.integers(0, 2**64, rng.integers(0, 1800), np.uint64)]) for _ in range(30)]
+    rows = [near.parities(s).view(np.uint64) for s in sets] + [np.empty(0, np.uint64)]
+    width = np.array([len(r) for r in rows])
+    x, y = (i.ravel() for i in np.meshgrid(np.arange(31), np.arange(31)))
+    got = near.odd_cells(np.concatenate(rows), np.cumsum(width) - width, width, x, y)
+    for i, j, odd in zip(x, y, got, strict=True):
+        w = min(width[i], width[j])
+        want = np.bitwise_xor.reduce(rows[i].reshape(-1, w)) ^ np.bitwise_xor.reduce(rows[j].reshape(-1, w)) if w else np.empty(0, np.uint64)
+        assert odd == np.bitwise_count(want).sum()
+        assert i == 30 or j == 30 or odd <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_common_shingles_of_many_tasks(spark):
+    """A passage that each task has once is common all the same."""
+    texts = [f"one passage that is in each of these texts {i} {i + 1}" for i in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "__text string").repartition(300)
+    found = {r.shingle for r in near.sampled(rows, 5, 8).collect()}
+    assert found == set(near.shingle_set(b"one passage that is in each of these texts", 5).view(np.int64).tolist())
