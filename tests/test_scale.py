@@ -5,6 +5,7 @@ import time
 import pytest
 
 from stemwise.functions import stats
+from stemwise.plans import registry
 
 
 def test_fisher_of_large_tables():
@@ -17,3 +18,10 @@ def test_fisher_of_large_tables():
     f = lambda x: lgamma(x + 1)
     weights = [exp(f(row) + f(n - row) + f(col) + f(n - col) - f(n) - f(x) - f(row - x) - f(col - x) - f(n - row - col + x)) for x in range(43_000, 47_000)]
     assert got == pytest.approx(sum(w for w in weights if w <= weights[2_000] * (1 + 1e-7)), rel=1e-7)
+
+
+def test_tails_below_the_normal_doubles(spark):
+    """Each term is rounded once, as the SQL's are, and digits are those of the exact value."""
+    df = spark.createDataFrame([(2576, 6250), (2574, 6250), (2578, 6250), (1300, 6250), (0, 9)], "k long, n long").withColumn("p", stats.binom_sf("k", "n"))
+    got = [r.t for r in df.select("k", registry.significant("p").alias("t")).orderBy("k").collect()]
+    assert got == ["1.00000e+00", "5.92796e-02", "6.85239e-319", "8.71581e-320", "1.10572e-320"]
