@@ -25,3 +25,20 @@ def test_tails_below_the_normal_doubles(spark):
     df = spark.createDataFrame([(2576, 6250), (2574, 6250), (2578, 6250), (1300, 6250), (0, 9)], "k long, n long").withColumn("p", stats.binom_sf("k", "n"))
     got = [r.t for r in df.select("k", registry.significant("p").alias("t")).orderBy("k").collect()]
     assert got == ["1.00000e+00", "5.92796e-02", "6.85239e-319", "8.71581e-320", "1.10572e-320"]
+
+
+def test_exact_tail_of_many_answers():
+    """By sixty digits: equal to the last bit to integers, and not slower as the square of n."""
+    from fractions import Fraction
+    from math import comb
+
+    for k, n in ((10_100, 50_000), (9_900, 50_000), (12_000, 50_000)):
+        term, total = comb(n, k) * 4 ** (n - k), 0
+        for i in range(k, n + 1):
+            total, term = total + term, term * (n - i) // ((i + 1) * 4)
+            if term.bit_length() < total.bit_length() - 200:
+                break
+        assert stats.binom_sf_exact_value(k, n) == float(Fraction(total, 5**n))
+    began = time.time()
+    assert 0 < stats.binom_sf_exact_value(400_900, 2_000_000) < 0.1
+    assert time.time() - began < 2
