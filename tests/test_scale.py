@@ -1,10 +1,14 @@
 """Operators on inputs where an earlier form took too long, held too much or lost digits."""
 
+import difflib
+import random
 import time
 
+import numpy as np
 import pytest
 
 from stemwise.functions import stats
+from stemwise.operators import matching
 from stemwise.plans import registry
 
 
@@ -42,3 +46,23 @@ def test_exact_tail_of_many_answers():
     began = time.time()
     assert 0 < stats.binom_sf_exact_value(400_900, 2_000_000) < 0.1
     assert time.time() - began < 2
+
+
+def test_alignment_is_that_of_difflib():
+    draw = random.Random(5)
+    for n, kinds in [(n, v) for n in (0, 5, 40, 150, 400) for v in (1, 2, 3, 6, 30)] * 4:
+        a = [draw.randrange(kinds) for _ in range(n)]
+        b = [x if draw.random() < 0.85 else draw.randrange(kinds) for x in a][draw.randrange(n + 1) // 3 :]
+        pairs = lambda found: sorted((i + k, j + k) for i, j, m in found for k in range(m))
+        want = pairs(difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        assert pairs(matching.matching_pairs(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))) == want
+
+
+def test_alignment_of_a_long_bank_with_few_keys(spark):
+    n = 60_000
+    left = spark.range(n).selectExpr("'x' as bank", "id as pos", "cast(id % 5 as string) as key")
+    right = spark.range(n).selectExpr("'x' as bank", "id as pos", "case when id % 7 = 0 then '0' else cast(id % 5 as string) end as key")
+    began = time.time()
+    got = matching.align_sequences(left, right.union(spark.createDataFrame([("y", 0, None)], "bank string, pos long, key string"))).collect()
+    assert time.time() - began < 60 and got
+    assert all(r.bank == "x" and r.right_pos % 7 and r.left_pos % 5 == r.right_pos % 5 or r.left_pos % 5 == 0 for r in got)
