@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from stemwise.functions import stats
-from stemwise.operators import matching
+from stemwise.operators import matching, scoring
 from stemwise.plans import registry
 
 
@@ -66,3 +66,15 @@ def test_alignment_of_a_long_bank_with_few_keys(spark):
     got = matching.align_sequences(left, right.union(spark.createDataFrame([("y", 0, None)], "bank string, pos long, key string"))).collect()
     assert time.time() - began < 60 and got
     assert all(r.bank == "x" and r.right_pos % 7 and r.left_pos % 5 == r.right_pos % 5 or r.left_pos % 5 == 0 for r in got)
+
+
+def test_breaker_of_the_job_is_that_of_one_client(spark, tmp_path):
+    """The same rows as from one partition, with no task that reads them all."""
+    draw = random.Random(2)
+    for case in range(6):
+        down = [draw.random() < (1, 0.9, 0.75, 0.6, 0.3, 0)[case] for _ in range(60)]
+        make = scoring.flaky(scoring.stub(1), lambda prompt, attempt, down=down: down[int(prompt)])
+        df = spark.range(60, numPartitions=7).selectExpr("id as item_pos", "cast(id as string) as prompt")
+        want = scoring.score(spark.range(60, numPartitions=1).selectExpr("id as item_pos", "cast(id as string) as prompt"), make, wait=lambda s: None)
+        got = scoring.score_as_one(df, make, str(tmp_path / str(case)), wait=lambda s: None)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
