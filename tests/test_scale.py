@@ -1,8 +1,11 @@
 """Operators on inputs where an earlier form took too long, held too much or lost digits."""
 
 import difflib
+import io
+import json
 import random
 import time
+import zipfile
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ import pytest
 from stemwise.functions import stats
 from stemwise.operators import matching, scoring
 from stemwise.plans import registry
+from stemwise.sources import readers
 
 
 def test_fisher_of_large_tables():
@@ -78,3 +82,39 @@ def test_breaker_of_the_job_is_that_of_one_client(spark, tmp_path):
         want = scoring.score(spark.range(60, numPartitions=1).selectExpr("id as item_pos", "cast(id as string) as prompt"), make, wait=lambda s: None)
         got = scoring.score_as_one(df, make, str(tmp_path / str(case)), wait=lambda s: None)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_json_elements_are_those_of_the_whole():
+    """However the text is cut, and where it is no JSON."""
+    good = [b'[1, -1.5e+30, "x\\u00e9", {"data": "q"}, [], null]', b' {"a": {"data": "d"}, "b": 3} ', b"7", b"[]", b"{}", '["é😀"]'.encode(), b'["\xff"]']
+    bad = [b"", b"{", b"[1,]", b"[1 2]", b'{"a" 1}', b'{1: 2}', b"[1] 2", b'["x', b"[nul]", b"\xef\xbb\xbf[1]", b"1.5e+", b"[1]\xc3"]
+    for size in (1, 2, 3, 7, 1 << 20):
+        for text in good:
+            whole = json.loads(text.decode(errors="replace"))
+            got = list(readers.json_elements(io.BytesIO(text), size))
+            assert got == (list(whole.items()) if isinstance(whole, dict) else [(None, x) for x in whole] if isinstance(whole, list) else [])
+        for text in bad:
+            with pytest.raises(ValueError):
+                list(readers.json_elements(io.BytesIO(text), size))
+
+
+def test_archive_is_read_as_a_stream(spark, tmp_path):
+    """A file that breaks off gives nothing, of a repeated key the last value counts."""
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("late.json", json.dumps([{"data": "x" * 50}] * 50_000)[:-1])
+        z.writestr("twice.json", '{"k": {"data": "1"}, "m": {"data": "2"}, "k": {"data": "3"}}')
+        z.writestr("many.json", json.dumps([{"data": f"d{i}"} for i in range(10_000)]))
+    rows = readers.zip_records(spark, f"{tmp_path}/*.zip").collect()
+    assert sorted((r.pos, r.data) for r in rows if r.bank == "twice") == [(0, "3"), (1, "2")]
+    assert [r.data for r in rows if r.bank == "many"] == [f"d{i}" for i in range(10_000)] and len(rows) == 10_002
+
+
+def test_reading_an_archive_holds_little():
+    """64 MB of records in pieces of the stream's size."""
+    import tracemalloc
+
+    text = io.BytesIO(json.dumps([{"data": "x" * 1000}] * 64_000).encode())
+    tracemalloc.start()
+    assert sum(1 for _ in readers.json_elements(text)) == 64_000
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
